@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import _kernels as K
+
 #: Rows held back before a packed exchange writes them out.
 FLUSH_ROWS = 1_000_000
 
@@ -70,15 +72,16 @@ class Packer:
     rows instead of one JVM row per element.
     """
 
-    def __init__(self, buckets: int):
-        self.buckets, self._held, self._rows = buckets, [], 0
+    def __init__(self, buckets: int, narrow: bool = False):
+        """narrow: pack the low half of the key only; buckets and low half tell most keys apart."""
+        self.buckets, self._narrow, self._held, self._rows = buckets, narrow, [], 0
 
     def bucket(self, key: np.ndarray) -> np.ndarray:
         return (((key >> np.uint64(32)) * np.uint64(self.buckets)) >> np.uint64(32)).astype(np.int32)
 
     def add(self, key: np.ndarray, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
         if len(key):
-            self._held.append((self.bucket(key), key, *columns))
+            self._held.append((self.bucket(key), key.astype(np.uint32) if self._narrow else key, *columns))
             self._rows += len(key)
         if self._rows >= FLUSH_ROWS:
             yield from self.flush()
@@ -143,6 +146,26 @@ class Bitmap:
         return ((word >> (k & np.uint64(63))) & np.uint64(1)) == 1
 
 
+class IdBitmap(Bitmap):
+    """A bitmap over mixed ids, as running numbers alone would crowd into few words."""
+
+    def __init__(self, df: DataFrame, column: str):
+        mix = self._mix
+
+        def mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([pa.array(mix(K.int_column(batch, column)).view(np.int64))], ["m"])
+
+        super().__init__(df.select(column).mapInArrow(mixed, "m long"), "m")
+
+    @staticmethod
+    def _mix(ids: np.ndarray) -> np.ndarray:
+        return K.mix(ids.astype(np.uint64))
+
+    def ids(self, ids: np.ndarray) -> np.ndarray:
+        return self(self._mix(ids))
+
+
 def components(store: Store, edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(a, b)``: every node with its least reachable node, ``(node, root)``.
 

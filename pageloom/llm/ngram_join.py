@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _kernels as K
-from ._spark import PACKED, Bitmap, Packer, Store, components, partitions, runs, table, unpack
+from ._spark import PACKED, IdBitmap, Packer, Store, components, partitions, runs, table, unpack
 
 N = 3
 THRESHOLD = 0.5
@@ -139,7 +139,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sets(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = batch.filter(pa.array(sent.value(K.mix(K.int_column(batch, "doc_id").astype(np.uint64)))))
+            batch = batch.filter(pa.array(sent.value.ids(K.int_column(batch, "doc_id"))))
             for part, texts in K.chunks(batch):
                 grams = [(g >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes() for g in _gram_sets(texts)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(grams, pa.binary())], ["doc", "grams"])
@@ -168,23 +168,12 @@ def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _checked(docs: DataFrame, pairs: DataFrame, store: Store) -> DataFrame:
     """The pairs that reach the threshold on whole n-gram sets."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("doc"))
-    sent = docs.sparkSession.sparkContext.broadcast(_IdBitmap(ends))
+    sent = docs.sparkSession.sparkContext.broadcast(IdBitmap(ends, "doc"))
     sets = docs.mapInArrow(_sets(sent), "doc long, grams binary").dropDuplicates(["doc"])
     x, y = sets.select(F.col("doc").alias("a"), F.col("grams").alias("x")), sets.select(F.col("doc").alias("b"), F.col("grams").alias("y"))
     return store.keep(pairs.select("a", "b").join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(_probe, "a long, b long, jaccard double").where(F.col("jaccard") >= THRESHOLD))
 
 
-class _IdBitmap(Bitmap):
-    """A bitmap over mixed ids, as ids alone would crowd into few words."""
-
-    def __init__(self, ends: DataFrame):
-        def mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                yield pa.RecordBatch.from_arrays([pa.array(K.mix(K.int_column(batch, "doc").astype(np.uint64)).view(np.int64))], ["m"])
-
-        super().__init__(ends.mapInArrow(mixed, "m long"), "m")
-
-
 def groups(docs: DataFrame, store: Store | None = None) -> DataFrame:
     """``(doc_id, group_id, kept)`` of every document that is in a group of two or more."""
     spark = docs.sparkSession
