@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _LIM = 0x3400
 _LUT: dict[str, np.ndarray] = {}
@@ -158,17 +159,18 @@ def word_grams(hashes: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndar
 
 
 def chunks(batch: pa.RecordBatch, text: str = "text", limit: int = 0) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Slices of a batch with about ``limit`` characters of text each; null texts become ''."""
+    """Slices of a batch with about ``limit`` bytes of text each; null texts become ''.
+
+    Only one slice's texts are Python strings at a time.
+    """
     limit = limit or CHUNK_CHARS
-    column = [t or "" for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
-    begin = size = 0
-    for i, t in enumerate(column):
-        if size and size + len(t) > limit:
-            yield batch.slice(begin, i - begin), column[begin:i]
-            begin, size = i, 0
-        size += len(t)
-    if begin < len(column):
-        yield batch.slice(begin), column[begin:]
+    column = batch.column(batch.schema.get_field_index(text))
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    begin, done = 0, 0
+    while begin < batch.num_rows:
+        end = max(begin + 1, int(np.searchsorted(ends, done + limit, "right")))
+        yield batch.slice(begin, end - begin), [t or "" for t in column.slice(begin, end - begin).to_pylist()]
+        begin, done = end, int(ends[end - 1])
 
 
 def int_column(batch: pa.RecordBatch, name: str) -> np.ndarray:

@@ -35,7 +35,7 @@ from ._spark import PACKED, IdBitmap, Packer, Store, partitions, runs, table, un
 LEAST = 50
 KMER = 8
 #: Words indexed at once; a block of contexts of one anchor is never split.
-BLOCK = 1_000_000
+BLOCK = 250_000
 _PLACE = np.uint64((1 << 28) - 1)
 
 
@@ -114,19 +114,20 @@ def _context_rows(buckets: int):
 
         for batch in batches:
             names = batch.schema.names
-            lists = batch.column(names.index("found")).to_pylist()
-            docs = K.int_column(batch, "doc_id")
+            found, docs = batch.column(names.index("found")), K.int_column(batch, "doc_id")
+            cut, each = found.offsets.to_numpy() - found.offsets[0].as_py(), found.flatten()
+            key, first, count = (each.field(k).to_numpy() for k in range(3))
             row = 0
             for _, texts in K.chunks(batch):
                 words, at = _words(texts)
                 words = (words >> np.uint64(32)).astype(np.uint32)
                 for i in range(len(texts)):
-                    for x in lists[row]:
-                        s = at[i] + x["first"]
-                        held.append((x["anchor"] & 0xFFFFFFFFFFFFFFFF, docs[row], x["first"], words[s : s + x["count"] + LEAST - 1]))
-                        size += x["count"] + LEAST
+                    for x in range(cut[row], cut[row + 1]):
+                        s = at[i] + first[x]
+                        held.append((key.view(np.uint64)[x], docs[row], first[x], words[s : s + count[x] + LEAST - 1].copy()))
+                        size += int(count[x]) + LEAST
                     row += 1
-                if size > 2_000_000:
+                if size > 1_000_000:
                     yield from flush()
                     held.clear()
                     size = 0

@@ -471,8 +471,8 @@ def cmd_intent(spark, d):
 
 
 def intents_of_documents(spark: SparkSession, d: str) -> DataFrame:
-    """A command for each document, on that document; every seventh names a file that isn't there."""
-    return commands.parse(_commands(spark, d)).withColumn("doc_id", F.when(F.col("cmd_id") % 7 != 6, F.col("cmd_id")))
+    """A command for each document, on that document."""
+    return commands.parse(_commands(spark, d)).withColumn("doc_id", F.col("cmd_id"))
 
 
 _SPLIT_ARG = lambda k: rf"TRY_CAST(regexp_extract(s.args, '{k}=(\d+)', 1) AS INTEGER)"
@@ -480,7 +480,7 @@ _CASES = lambda m, c: f"CASE {c} " + " ".join("WHEN '{}' THEN '{}'".format(a, b.
 
 
 @query(
-    f"""WITH a AS MATERIALIZED (SELECT * FROM {ACTIONS}), c AS (SELECT doc_id AS cmd_id, CASE WHEN doc_id % 7 <> 6 THEN doc_id END AS doc_id FROM documents),
+    f"""WITH a AS MATERIALIZED (SELECT * FROM {ACTIONS}), c AS (SELECT doc_id AS cmd_id, doc_id FROM documents),
     b AS (SELECT c.cmd_id, c.doc_id, i.cmd_id IS NULL AS empty, {_FILE.replace("(t,", "(i.t,")} AS input_file, {_TARGET.replace("(t)", "(i.t)")} AS target, n.n_pages, {_SPLIT_ARG("start")} AS s, {_SPLIT_ARG("end")} AS e, g.args AS gone
       FROM c LEFT JOIN {READY} i ON i.cmd_id = c.cmd_id LEFT JOIN {COUNTS} n ON n.doc_id = c.doc_id LEFT JOIN a s ON s.cmd_id = c.cmd_id AND s.action = 'split' LEFT JOIN a g ON g.cmd_id = c.cmd_id AND g.action = 'delete_pages'),
     k AS (SELECT *, CASE WHEN s IS NULL THEN n_pages ELSE e - s + 1 END AS kept FROM b),
@@ -494,7 +494,7 @@ def cmd_chain(spark, d):
 
 
 @query(
-    f"""WITH a AS MATERIALIZED (SELECT * FROM {ACTIONS}), n AS (SELECT {COUNTS[1:-1].replace("SELECT ", "", 1).replace(" FROM documents", "")} FROM documents WHERE doc_id % 7 <> 6),
+    f"""WITH a AS MATERIALIZED (SELECT * FROM {ACTIONS}), n AS (SELECT {COUNTS[1:-1].replace("SELECT ", "", 1).replace(" FROM documents", "")} FROM documents),
     q AS (SELECT n.doc_id, n_pages, (SELECT {_SPLIT_ARG("start")} FROM a s WHERE s.cmd_id = n.doc_id AND action = 'split') AS s, (SELECT {_SPLIT_ARG("end")} FROM a s WHERE s.cmd_id = n.doc_id AND action = 'split') AS e,
       (SELECT list_distinct(list_transform(string_split(substr(args, 7), ','), x -> CAST(x AS INTEGER))) FROM a g WHERE g.cmd_id = n.doc_id AND action = 'delete_pages') AS gone, (SELECT CAST(substr(args, 7) AS INTEGER) FROM a r WHERE r.cmd_id = n.doc_id AND action = 'rotate') AS angle,
       (SELECT substr(args, 6) FROM a w WHERE w.cmd_id = n.doc_id AND action = 'watermark') AS mark, (SELECT count(*) > 0 FROM a w WHERE w.cmd_id = n.doc_id AND action = 'encrypt') AS encrypted, (SELECT count(*) FROM a w WHERE w.cmd_id = n.doc_id) AS steps FROM n),
