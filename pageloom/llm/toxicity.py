@@ -73,7 +73,7 @@ def _solve(rows: list[np.ndarray], toxic: np.ndarray, train: np.ndarray, epochs:
     ratio = np.log((p + alpha) / (q + alpha)) - np.log((toxic[train].sum() + alpha) / ((1 - toxic[train]).sum() + alpha))
     ratio[docs < min(LEAST_DOCS, max(2, train.sum() // 100))] = 0
     z = np.abs(p - docs * share) / np.sqrt(np.maximum(docs, 1) * share * (1 - share))
-    ratio[z < 4] = 0  # not told apart from chance
+    ratio[z < min(4, 0.5 * np.sqrt(train.sum()))] = 0  # not told apart from chance; a few rows can't give more than the root of their number
     keep = ratio != 0
     ids = np.cumsum(keep) - 1
     some = np.flatnonzero(train)
