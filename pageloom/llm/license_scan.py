@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ._spark import table
 
-STEMS = ("licen", "copyright", "warrant", "permission", "redistribut", "public domain", "spdx", "liability", "free software")
+STEMS = ("licen", "copyright", "warrant", "permission", "redistribut", "public domain", "spdx", "liability", "free software", "released under", "distributed under", "available under")
 
 _VERBS = ("licensed under", "released under", "distributed under", "available under", "this work is licensed under", "this software is licensed under", "this project is licensed under", "this program is licensed under", "this file is licensed under", "this code is licensed under", "this work is released under", "this software is released under", "this code is released under", "this project is released under", "this content is licensed under", "this document is licensed under", "code released under", "spdx license identifier")
 
