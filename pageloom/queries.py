@@ -143,16 +143,16 @@ def page_reorder(spark, d):
 
 
 @query(
-    f"""WITH f AS (SELECT CAST(doc_id % 100 AS BIGINT) AS out_id, row_number() OVER (PARTITION BY doc_id % 100 ORDER BY k, doc_id DESC) AS file_pos, doc_id FROM documents, (VALUES (1), (2)) AS t(k) WHERE k = 1 OR doc_id % 3 = 0)
+    f"""WITH f AS (SELECT CAST(floor(doc_id / 100) AS BIGINT) AS out_id, row_number() OVER (PARTITION BY floor(doc_id / 100) ORDER BY k, doc_id DESC) AS file_pos, doc_id FROM documents, (VALUES (1), (2)) AS t(k) WHERE k = 1 OR doc_id % 3 = 0)
     SELECT out_id AS doc_id, CAST(row_number() OVER (PARTITION BY out_id ORDER BY file_pos, page_no) AS INTEGER) AS page_no, f.doc_id AS src_doc, page_no AS src_page, body FROM f JOIN {DOC_PAGES} p ON p.doc_id = f.doc_id"""
 )
 def doc_merge(spark, d):
-    """Outputs of every hundredth document each, last first; every third document goes in twice."""
+    """Outputs of a hundred documents each, last first; every third document goes in twice."""
     from pyspark.sql import Window
 
     twice = table(spark, d, "documents").select("doc_id").withColumn("k", F.explode(F.expr("if(doc_id % 3 = 0, array(1, 2), array(1))")))
     order = Window.partitionBy("out_id").orderBy("k", F.desc("doc_id"))
-    plan = twice.withColumn("out_id", F.col("doc_id") % 100).withColumn("file_pos", F.row_number().over(order)).select("out_id", "file_pos", "doc_id")
+    plan = twice.withColumn("out_id", F.floor(F.col("doc_id") / 100)).withColumn("file_pos", F.row_number().over(order)).select("out_id", "file_pos", "doc_id")
     return pages.merge_documents(_docs(spark, d), plan).select("doc_id", "page_no", "src_doc", "src_page", "body")
 
 
@@ -544,6 +544,76 @@ def preview_facts(spark, d):
     return files.preview_facts(table(spark, d, "documents").select("doc_id", F.concat(F.lit("/d/"), "source", F.lit("_"), "doc_id", F.lit(".pdf")).alias("path"), F.size(F.split("text", "\n")).alias("n_pages"), F.octet_length("text").alias("size_bytes")))
 
 
+# --- smaller pieces: orders, lists, canvas, resolutions, drops, reports, settings -----------
+ORDER = "CASE CAST(o_orderkey % 7 AS INT) WHEN 0 THEN '5, 3, 1' WHEN 1 THEN '2,2' WHEN 2 THEN '' WHEN 3 THEN '1,,2' WHEN 4 THEN '1-2' WHEN 5 THEN ' 4 ' ELSE 'x' END"
+
+
+@query(f"WITH s AS (SELECT o_orderkey AS spec_id, list_transform(string_split({ORDER}, ','), p -> trim(p)) AS parts FROM orders) SELECT spec_id, CASE WHEN len(list_filter(parts, p -> NOT regexp_matches(p, '^[0-9]+$'))) = 0 THEN array_to_string(parts, ',') END AS pages FROM s")
+def page_order_parse(spark, d):
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("spec_id"), _join(spec.parse_order(F.expr(ORDER))).alias("pages"))
+
+
+@query(f"SELECT doc_id, n_pages, CASE WHEN n_pages >= 3 THEN 'ok' ELSE 'page_out_of_range' END AS status FROM {COUNTS}")
+def stamp_status(spark, d):
+    return annotate.stamp_status(_counts(spark, d), 3)
+
+
+_ITEMS = "string_split(text, ' ')"
+
+
+@query(
+    f"""WITH s AS (SELECT doc_id, {_ITEMS} AS x FROM documents)
+    SELECT doc_id, array_to_string(CASE WHEN len(x) >= 3 THEN list_concat([x[1], x[3], x[2]], x[4:]) ELSE x END, ' ') AS moved, array_to_string(x, ' ') AS kept, array_to_string(x[2:2] || x[4:], ' ') AS removed FROM s"""
+)
+def list_edit(spark, d):
+    x = F.split("text", " ")
+    return table(spark, d, "documents").select("doc_id", F.array_join(state.move_item(x, 1, 1), " ").alias("moved"), F.array_join(state.move_item(x, 0, -1), " ").alias("kept"), F.array_join(state.remove_items(x, [0, 2]), " ").alias("removed"))
+
+
+@query("WITH s AS (SELECT p_partkey AS id, p_size * 64 AS w, p_size * 32 AS h FROM part), k AS (SELECT *, least(640 / w::DOUBLE, 480 / h::DOUBLE) AS scale FROM s) SELECT id, scale, (640 - w * scale) / 2 AS dx, (480 - h * scale) / 2 AS dy, (100 - (640 - w * scale) / 2) / scale AS x, (200 - (480 - h * scale) / 2) / scale AS y FROM k")
+def canvas_fit(spark, d):
+    s = table(spark, d, "part").select(F.col("p_partkey").alias("id"), images.canvas_fit(F.col("p_size") * 64, F.col("p_size") * 32, F.lit(640), F.lit(480)).alias("f"))
+    back = images.canvas_to_image(F.lit(100), F.lit(200), F.col("f"))
+    return s.select("id", "f.scale", "f.dx", "f.dy", back["x"].alias("x"), back["y"].alias("y"))
+
+
+@query("SELECT p_partkey AS id, round(greatest(p_size * 41 / (210 / 25.4::DOUBLE), (p_size * 29 + 7) / (297 / 25.4::DOUBLE)), 6) AS dpi FROM part")
+def scan_resolution(spark, d):
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.round(names.scan_resolution(F.col("p_size") * 41, F.col("p_size") * 29 + 7), 6).alias("dpi"))
+
+
+@query(
+    f"""SELECT o_orderkey AS id, mode, CASE WHEN lower(regexp_extract({PATH}, '(\\.[^./]*)$', 1)) IN ({", ".join(repr(e) for m, x in names.ROUTES.items() for e in x if m == "pdf_to_image")}) AND mode = 'pdf_to_image' THEN {PATH} END AS taken
+    FROM orders, (VALUES ('pdf_to_image'), ('unknown')) AS t(mode)"""
+)
+def drop_route(spark, d):
+    from .sources import files
+
+    dropped = F.array(F.expr(PATH), F.lit("/in/second.pdf"))
+    asked = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.expr(PATH), dropped.alias("dropped"), F.explode(F.array(F.lit("pdf_to_image"), F.lit("unknown"))).alias("mode"))
+    return asked.select("id", "mode", files.route_dropped(F.col("dropped"), F.col("mode")).alias("taken"))
+
+
+@query(
+    f"""WITH r AS ({ORACLE_SQL["batch_compress_report"]})
+    SELECT concat_ws(chr(10), 'Batch', 'Date: 2024-03-05 14:07:09', repeat('=', 50), 'Total: ' || total, 'Successful: ' || success, 'Failed: ' || errors, repeat('=', 50), CASE WHEN errors > 0 THEN 'Errors:' || chr(10) || '- ' || replace(error_lines, chr(10), chr(10) || '- ') ELSE 'No errors.' END) AS report FROM r WHERE total > 0"""
+)
+def batch_report(spark, d):
+    return batch.report_text(batch_compress_report(spark, d), "Batch", F.expr(AS_OF))
+
+
+@query("""SELECT event_id, '{"language":"' || CASE WHEN event_id % 2 = 0 THEN 'tr' ELSE 'en' END || '","theme":"light","sounds":true,"recent_files":["' || event_type || '.pdf","a.pdf"]}' AS config FROM events""")
+def config_write(spark, d):
+    c = state.read_config(F.expr("""if(event_id % 2 = 0, '{"language": "tr"}', '{}')"""))
+    recent = state.push_recent(F.array(F.lit("a.pdf"), F.concat("event_type", F.lit(".pdf"))), F.concat("event_type", F.lit(".pdf")))
+    return table(spark, d, "events").select("event_id", state.write_config(F.struct(c["language"].alias("language"), c["theme"].alias("theme"), c["sounds"].alias("sounds"), recent.alias("recent_files"))).alias("config"))
+
+
+@query(f"SELECT img_id, array_to_string(list_transform(px, p -> CAST(floor((p * 100 + 255 * (255 - 100)) / 255::DOUBLE + 0.5) AS INTEGER)), ',') AS px FROM {TILES}")
+def alpha_flatten(spark, d):
+    return images.blend_on_white(_tiles(spark, d).withColumn("alpha", F.transform("px", lambda _: F.lit(100)))).select("img_id", _join("px").alias("px"))
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Parse a command for each document, carry it out on the pages, and report per document."""
     intents = intents_of_documents(spark, d)
