@@ -3,9 +3,9 @@
 Every window of ``LEAST`` words has an anchor, the least hashed ``KMER``-word
 gram in it, so equal windows have equal anchors. Anchors that occur in two or
 more documents bring the windows they stand for together, and each such block of
-contexts is indexed: suffix array by prefix doubling, Burrows-Wheeler transform,
-its runs, and suffix samples at the run ends only. Matching statistics then
-stream backwards through the contexts: inside a run, LF-mapping carries a match
+contexts, equal ones once, is indexed: suffix array by prefix doubling,
+Burrows-Wheeler transform, its runs, and suffix samples at the run ends only.
+Matching statistics then stream backwards through the contexts: inside a run, LF-mapping carries a match
 with the neighbouring suffix on and lengthens it by one; at a run's start the
 sampled end of the previous run of that word is the new neighbour. Rows joined
 by matches of ``LEAST`` words or more form blocks; blocks with more than one
@@ -98,7 +98,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _context_rows(buckets: int):
-    """Each anchor with the words of its windows, packed by anchor."""
+    """Each anchor with the words of its windows, packed by anchor; equal contexts are sent once with all their places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer, held, size = Packer(buckets), [], 0
@@ -108,9 +108,14 @@ def _context_rows(buckets: int):
             order = np.argsort(bucket, kind="stable")
             cut = runs(bucket[order])
             for s, e in zip(cut[:-1], cut[1:]):
-                some = [held[i] for i in order[s:e]]
-                blob = b"".join([np.array([h[0] for h in some], np.uint64).tobytes(), np.array([h[1] for h in some], np.int64).tobytes(), np.array([h[2] for h in some], np.int32).tobytes(), np.array([len(h[3]) for h in some], np.int32).tobytes(), *[h[3].tobytes() for h in some]])
-                yield pa.RecordBatch.from_arrays([pa.array([bucket[order[s]]], pa.int32()), pa.array([e - s], pa.int32()), pa.array([blob], pa.binary())], ["bucket", "n", "payload"])
+                some: dict[tuple[int, bytes], list[tuple[int, int]]] = {}
+                for i in order[s:e]:
+                    key, doc, first, words = held[i]
+                    some.setdefault((int(key), words.tobytes()), []).append((doc, first))
+                places = np.array([x for each in some.values() for x in each], np.int64)
+                head = [np.array([k for k, _ in some], np.uint64), np.array([len(w) // 4 for _, w in some], np.int32), np.array([len(x) for x in some.values()], np.int32), places[:, 0], places[:, 1].astype(np.int32)]
+                blob = b"".join([*(x.tobytes() for x in head), *(w for _, w in some)])
+                yield pa.RecordBatch.from_arrays([pa.array([bucket[order[s]]], pa.int32()), pa.array([len(some)], pa.int32()), pa.array([blob], pa.binary())], ["bucket", "n", "payload"])
 
         for batch in batches:
             names = batch.schema.names
@@ -216,35 +221,53 @@ class RunIndex:
         return match, context, place
 
 
-def repeated(contexts: list[np.ndarray], docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Context, window start and least document of every window of ``LEAST`` words that another document has."""
+def repeated(contexts: list[np.ndarray], low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Context, window start and least document of every window of ``LEAST`` words that two documents have.
+
+    A context stands for all its copies; ``low`` and ``high`` are the least and greatest document with one.
+    """
     match, context, place = RunIndex(contexts).matching_statistics()
     rows = np.arange(len(contexts), len(match))
     cut = np.concatenate(([0], np.flatnonzero(match[rows][1:] < LEAST) + 1, [len(rows)]))
-    many = np.flatnonzero(np.diff(cut) > 1)
-    row, offsets = K.ragged(cut[many], np.diff(cut)[many])
-    if not len(row):
-        return row, row, row
-    row = rows[row]
-    doc = docs[context[row]]
-    low, high = np.minimum.reduceat(doc, offsets[:-1]), np.maximum.reduceat(doc, offsets[:-1])
-    keep = np.repeat(low != high, np.diff(offsets))
-    return context[row][keep], place[row][keep], np.repeat(low, np.diff(offsets))[keep]
+    row, offsets = rows, cut
+    block = np.repeat(np.arange(len(cut) - 1), np.diff(cut))
+    least = np.minimum.reduceat(low[context[row]], offsets[:-1])
+    most = np.maximum.reduceat(high[context[row]], offsets[:-1])
+    # A suffix shorter than a window is a block of its own, whose context may have copies.
+    keep = (least != most)[block] & (place[row] <= np.array([len(c) for c in contexts])[context[row]] - LEAST)
+    return context[row][keep], place[row][keep], least[block][keep]
 
 
 def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    keys, docs, firsts, contexts = [], [], [], []
+    # Equal contexts of an anchor are indexed once, however many documents have them.
+    known: dict[tuple[int, bytes], int] = {}
+    contexts: list[np.ndarray] = []
+    kinds, docs, firsts = [], [], []
     for batch in batches:
         for n, blob in zip(batch.column(1).to_pylist(), batch.column(2)):
-            view = blob.as_buffer()
-            keys.append(np.frombuffer(view, np.uint64, n))
-            docs.append(np.frombuffer(view, np.int64, n, 8 * n))
-            firsts.append(np.frombuffer(view, np.int32, n, 16 * n))
-            length = np.frombuffer(view, np.int32, n, 20 * n).astype(np.int64)
-            contexts += np.split(np.frombuffer(view, np.uint32, length.sum(), 24 * n), np.cumsum(length)[:-1])
-    if not keys:
+            view, at = blob.as_buffer(), 0
+            head = []
+            for dtype in (np.uint64, np.int32, np.int32):
+                head.append(np.frombuffer(view, dtype, n, at))
+                at += head[-1].nbytes
+            key, length, copies = head
+            total = int(copies.sum())
+            docs.append(np.frombuffer(view, np.int64, total, at))
+            firsts.append(np.frombuffer(view, np.int32, total, at + 8 * total))
+            words = np.split(np.frombuffer(view, np.uint32, int(length.sum(dtype=np.int64)), at + 12 * total), np.cumsum(length, dtype=np.int64)[:-1])
+            own = np.empty(n, np.int64)
+            for i, (k, w) in enumerate(zip(key.tolist(), words)):
+                own[i] = known.setdefault((k, w.tobytes()), len(known))
+                if own[i] == len(contexts):
+                    contexts.append(w)
+            kinds.append(np.repeat(own, copies))
+    if not known:
         return
-    key, doc, first = np.concatenate(keys), np.concatenate(docs), np.concatenate(firsts).astype(np.int64)
+    kind, doc, first = np.concatenate(kinds), np.concatenate(docs), np.concatenate(firsts).astype(np.int64)
+    key = np.array([k for k, _ in known], np.uint64)
+    by_kind = np.lexsort((doc, kind))
+    members = runs(kind[by_kind])
+    low, high = doc[by_kind[members[:-1]]], doc[by_kind[members[1:] - 1]]
     order = np.argsort(key, kind="stable")
     cut = runs(key[order])
     begin = size = 0
@@ -258,17 +281,20 @@ def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for some in pieces:
         if not len(some):
             continue
-        which, place, low = repeated([contexts[i] for i in some], doc[some])
+        which, place, least = repeated([contexts[i] for i in some], low[some], high[some])
         by = np.lexsort((place, which))
-        which, place, low = which[by], place[by], low[by]
+        which, place, least = which[by], place[by], least[by]
         new = np.ones(len(which), bool)
         new[1:] = (which[1:] != which[:-1]) | (place[1:] != place[:-1] + 1)
         at = np.flatnonzero(new)
         if not len(at):
             continue
-        start = first[some][which[at]] + place[at]
-        end = start + np.diff(np.append(at, len(which))) - 1 + LEAST
-        yield pa.RecordBatch.from_arrays([pa.array(doc[some][which[at]]), pa.array(start), pa.array(end), pa.array(np.minimum.reduceat(low, at))], ["doc_id", "start_word", "end_word", "first_doc_id"])
+        which, start, least, width = some[which[at]], place[at], np.minimum.reduceat(least, at), np.diff(np.append(at, len(which)))
+        # Back to every copy.
+        copies, offsets = K.ragged(members[which], members[which + 1] - members[which])
+        each = np.repeat(np.arange(len(which)), np.diff(offsets))
+        begins = first[by_kind[copies]] + start[each]
+        yield pa.RecordBatch.from_arrays([pa.array(doc[by_kind[copies]]), pa.array(begins), pa.array(begins + width[each] - 1 + LEAST), pa.array(least[each])], ["doc_id", "start_word", "end_word", "first_doc_id"])
 
 
 def passages(docs: DataFrame, store: Store | None = None) -> DataFrame:
