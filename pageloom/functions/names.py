@@ -63,7 +63,7 @@ def image_name(page_no: Column, fmt: Column) -> Column:
 
 def compress_progress(size_now: Column, input_size: Column) -> Column:
     """Percent done from the size of the growing output, taking 60 % as its final size, 90 at most."""
-    return F.least((size_now / F.greatest(input_size * 0.6, F.lit(1.0)) * 90).cast("int"), F.lit(90))
+    return F.least(size_now / F.greatest(input_size * 0.6, F.lit(1.0)) * 90, F.lit(90.0)).cast("int")
 
 
 def progress_percent(current: Column, total: Column) -> Column:
