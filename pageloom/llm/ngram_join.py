@@ -10,17 +10,18 @@ are long comes from corpus-wide counts in a sketch of fixed size, an order that
 all documents share. A passage that thousands of documents share makes long
 lists, so it costs nothing in the merge.
 
-Within a merged list the documents meet the list's least one, after a size
-filter and a comparison of 64 sampled hash bits. Proposals are verified exactly
+Documents of one n-gram set are joined by a hash of the whole set, and only the
+least of them is searched for partners. Within a merged list every two documents
+meet, after a size filter and a comparison of 64 sampled hash bits, so a list of
+n documents costs n squared comparisons. Proposals are verified exactly
 on whole n-gram sets by binary probes (first each document's best partner, then
 whatever still joins two different components), and components make the groups.
 
-Search is approximate in the sketch and in the meeting at the list's head;
-recall of grouped pairs against brute force is tested to be at least 0.9.
+Search is approximate in the sketch and in the sampled bits; recall of grouped pairs against brute force is tested to be at least 0.9.
 
 Defined results: a text without words (null, empty, blank) belongs to no group;
-a text of fewer than ``N`` words is a single n-gram; equal texts are in one
-group; the least doc_id of a group is the one kept; rows with a null doc_id are
+a text of fewer than ``N`` words is a single n-gram; texts of equal n-gram sets
+are in one group; the least doc_id of a group is the one kept; rows with a null doc_id are
 ignored by the join and kept by ``apply``; repeated rows of one doc_id count as
 one document in the join and stay together in ``apply``.
 """
@@ -45,6 +46,8 @@ SHARED = 0.375
 CELLS = 1 << 20
 #: Of the 64 sampled bits, so many agree at least; unlike documents agree on about half.
 AGREE = 39
+#: Pairs of a list's documents looked at in one go.
+PAIRS = 2_000_000
 
 
 def _gram_sets(texts: list[str]) -> Iterator[np.ndarray]:
@@ -120,20 +123,35 @@ def _post(buckets: int, lengths):
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Merge the short lists of a partition: proposals ``(a, b, agree)`` with a the least document of a list."""
+    """Merge the short lists of a partition: proposals ``(a, b, agree)``, a < b, of every two documents of a list that pass the filters."""
     key, doc, size, bits = unpack(batches, np.uint64, np.int64, np.int32, np.uint64)
     order = np.lexsort((doc, key))
     key, doc, size, bits = key[order], doc[order], size[order], bits[order]
     cut = runs(key)
-    head = np.repeat(cut[:-1], np.diff(cut)) if len(key) else np.zeros(0, np.int64)
-    agree = 64 - np.bitwise_count(bits ^ bits[head]).astype(np.int32) if len(key) else size
-    ok = (doc != doc[head]) & (agree >= AGREE) & (np.minimum(size, size[head]) >= THRESHOLD * np.maximum(size, size[head]))
-    a, b, agree = doc[head][ok], doc[ok], agree[ok]
+    end = np.repeat(cut[1:], np.diff(cut)) if len(key) else np.zeros(0, np.int64)
+    later = end - 1 - np.arange(len(key))
+    done = np.cumsum(later)
+    found = [np.zeros((3, 0), np.int64)]
+    i = held = 0
+    while i < len(key):
+        stop = max(i + 1, int(np.searchsorted(done, (done[i - 1] if i else 0) + PAIRS, "right")))
+        y, offsets = K.ragged(np.arange(i, stop) + 1, later[i:stop])
+        x = np.repeat(np.arange(i, stop), np.diff(offsets))
+        agree = 64 - np.bitwise_count(bits[x] ^ bits[y]).astype(np.int64)
+        ok = (doc[x] != doc[y]) & (agree >= AGREE) & (np.minimum(size[x], size[y]) >= THRESHOLD * np.maximum(size[x], size[y]))
+        found.append(np.stack([doc[x[ok]], doc[y[ok]], agree[ok]]))
+        held, i = held + found[-1].shape[1], stop
+        if held > PAIRS or i >= len(key):
+            yield _distinct(*np.concatenate(found, axis=1))
+            found, held = [np.zeros((3, 0), np.int64)], 0
+
+
+def _distinct(a: np.ndarray, b: np.ndarray, agree: np.ndarray) -> pa.RecordBatch:
     order = np.lexsort((b, a))
     a, b, agree = a[order], b[order], agree[order]
     new = np.ones(len(a), bool)
     new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    yield pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new]), pa.array(agree[new].astype(np.int32))], ["a", "b", "agree"])
+    return pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new]), pa.array(agree[new].astype(np.int32))], ["a", "b", "agree"])
 
 
 def _sets(sent):
@@ -165,6 +183,23 @@ def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], ["a", "b", "jaccard"])
 
 
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Two hashes of every document's whole n-gram set."""
+    for batch in batches:
+        for part, texts in K.chunks(batch):
+            doc, made = K.int_column(part, "doc_id"), list(_gram_sets(texts))
+            some = [i for i, g in enumerate(made) if len(g)]
+            both = [[int(np.add.reduce(K.mix(made[i] ^ np.uint64(c))).view(np.int64)) for i in some] for c in (1, 0x9E3779B97F4A7C15)]
+            yield pa.RecordBatch.from_arrays([pa.array(doc[some]), *(pa.array(x, pa.int64()) for x in both)], ["doc", "h1", "h2"])
+
+
+def equal_sets(docs: DataFrame) -> DataFrame:
+    """``(a, b)``: every document b whose n-gram set is that of a lesser one, a the least."""
+    whole = docs.mapInArrow(_whole, "doc long, h1 long, h2 long")
+    least = whole.groupBy("h1", "h2").agg(F.min("doc").alias("a"), F.count("*").alias("c")).where("c > 1")
+    return whole.join(least, ["h1", "h2"]).where("doc <> a").select("a", F.col("doc").alias("b")).distinct()
+
+
 def _checked(docs: DataFrame, pairs: DataFrame, store: Store) -> DataFrame:
     """The pairs that reach the threshold on whole n-gram sets."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("doc"))
@@ -179,19 +214,21 @@ def groups(docs: DataFrame, store: Store | None = None) -> DataFrame:
     spark = docs.sparkSession
     store, n = store or Store(spark), partitions(spark)
     docs = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
-    lengths = spark.sparkContext.broadcast(list_lengths(docs))
+    equal = store.keep(equal_sets(docs))
+    every, docs = docs, docs.join(equal.select(F.col("b").alias("doc_id")), "doc_id", "left_anti")
+    lengths = spark.sparkContext.broadcast(list_lengths(every))
     pairs = docs.mapInArrow(_post(n, lengths), PACKED).repartitionById(n, "bucket").mapInArrow(_merge, "a long, b long, agree int")
     pairs = store.keep(pairs.groupBy("a", "b").agg(F.max("agree").alias("agree")))
     best = pairs.groupBy("b").agg(F.max(F.struct("agree", (-F.col("a")).alias("a"))).alias("m")).select((-F.col("m.a")).alias("a"), "b")
-    first = _checked(docs, best, store)
+    first = _checked(every, best, store)
     roots = store.keep(components(store, first))
     side = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
     open_pairs = store.keep(
         pairs.join(best, ["a", "b"], "left_anti").join(side("a"), "a", "left").join(side("b"), "b", "left")
         .where("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b")
     )
-    second = _checked(docs, open_pairs, store)
-    edges = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(second.select("a", "b"))
+    second = _checked(every, open_pairs, store)
+    edges = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(second.select("a", "b")).union(equal)
     return components(store, edges).select(F.col("node").alias("doc_id"), F.col("root").alias("group_id"), (F.col("node") == F.col("root")).alias("kept"))
 
 

@@ -68,6 +68,30 @@ def test_planted_groups_and_a_shared_passage(make):
     assert all(want[d] == want[g] for d, g in got.items())
 
 
+def test_partners_meet_in_lists_headed_by_unlike_lower_documents(make):
+    """Each passage of the last two texts stands in an earlier, unlike document of about their size."""
+    rng = np.random.default_rng(11)
+    vocab = [f"w{i}" for i in range(50_000)]
+    fresh = lambda n: " ".join(rng.choice(vocab, n))
+    rows, want = [], set()
+    for k in range(8):
+        parts = [fresh(15) for _ in range(6)]
+        base = 100 * k
+        rows += [(base + i, f"{fresh(38)} {p} {fresh(37)}") for i, p in enumerate(parts)]
+        rows += [(base + 50, " ".join(parts)), (base + 51, " ".join(parts)), (base + 52, f"{' '.join(parts)} {fresh(1)}")]
+        want |= {(base + i, base + 50) for i in (50, 51, 52)}
+    assert {(r["doc_id"], r["group_id"]) for r in nj.groups(make(rows)).collect()} == want
+
+
+def test_every_two_documents_of_a_list_are_proposed():
+    bits = [(1 << 64) - 1, 0, 0, 1, (1 << 64) - 1]
+    columns = [np.full(5, 9, np.uint64), np.arange(5), np.full(5, 50, np.int32), np.array(bits, np.uint64)]
+    packer = nj.Packer(1)
+    list(packer.add(*columns))
+    got = [p for b in nj._merge(packer.flush()) for p in zip(*(c.to_pylist() for c in b.columns))]
+    assert sorted(got) == [(0, 4, 64), (1, 2, 64), (1, 3, 63), (2, 3, 63)]
+
+
 def test_required_overlap_and_skipped_lists():
     assert [nj.required(n) for n in (1, 2, 3, 10, 64)] == [1, 1, 2, 5, 32]
     assert nj.required(65) == nj.required(10**6) == 24
