@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -25,6 +26,11 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def buckets(docs: DataFrame) -> int:
+    """Buckets of a packed exchange: the session's partitions, and no fewer than the scan has, so that they grow with the bytes read."""
+    return max(partitions(docs.sparkSession), docs.rdd.getNumPartitions())
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder, ``spark.checkpoint.dir``.
 
@@ -41,11 +47,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Store:
-    """Tables written to the shared folder, so that a lost executor costs a read and no recomputation."""
+    """Tables written to the shared folder, so that a lost executor costs a read and no recomputation.
+
+    ``drop`` deletes a table that nothing reads any more; what a result still
+    reads stays until the driver ends.
+    """
 
     def __init__(self, spark: SparkSession):
         self.spark, self._at = spark, f"{shared_dir(spark)}/pageloom-{uuid.uuid4().hex}"
         self._n = 0
+        atexit.register(self._delete, self._at)
 
     def keep(self, df: DataFrame) -> DataFrame:
         self._n += 1
@@ -55,11 +66,17 @@ class Store:
         out._pageloom_path = path
         return out
 
-    def drop(self, df: DataFrame) -> None:
-        """Delete a kept table; plans that read it must have run."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df._pageloom_path)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete kept tables; plans that read them must have run."""
+        for df in tables:
+            self._delete(df._pageloom_path)
+
+    def _delete(self, at: str) -> None:
+        sc = self.spark.sparkContext
+        if sc._jsc is None or sc._jsc.sc().isStopped():
+            return
+        path = sc._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 PACKED = "bucket int, n int, payload binary"
@@ -124,25 +141,30 @@ def runs(sorted_key: np.ndarray) -> np.ndarray:
 
 
 class Bitmap:
-    """A bitmap of fixed size over 64-bit keys, to skip most rows that a join would drop.
+    """A bitmap over 64-bit keys, to skip most rows that a join would drop.
 
-    It never rejects a member. Its size is fixed (1 MiB), so that broadcasting
-    it is safe at any scale; when it fills up, it only skips less.
+    It never rejects a member. It has about 16 bits a key, between 1 KiB and
+    ``MOST`` words (16 MiB), so that broadcasting it is safe at any scale; when
+    there are more keys than that, it only skips less.
     """
 
-    WORDS = 1 << 17
+    MOST = 1 << 21
 
     def __init__(self, df: DataFrame, column: str):
+        n = df.count()
+        size = 1 << 7
+        while size < self.MOST and 4 * size < n:
+            size *= 2
         got = (
-            df.select(F.expr(f"shiftrightunsigned({column}, 6) & {self.WORDS - 1}").alias("w"), F.expr(f"shiftleft(1L, cast({column} & 63 as int))").alias("b"))
+            df.select(F.expr(f"shiftrightunsigned({column}, 6) & {size - 1}").alias("w"), F.expr(f"shiftleft(1L, cast({column} & 63 as int))").alias("b"))
             .groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
         )
-        self.words = np.zeros(self.WORDS, np.int64)
+        self.words = np.zeros(size, np.int64)
         self.words[got["w"].to_numpy(np.int64)] = got["b"].to_numpy(np.int64)
 
     def __call__(self, key: np.ndarray) -> np.ndarray:
         k = key.astype(np.uint64, copy=False)
-        word = self.words.view(np.uint64)[((k >> np.uint64(6)) & np.uint64(self.WORDS - 1)).astype(np.int64)]
+        word = self.words.view(np.uint64)[((k >> np.uint64(6)) & np.uint64(len(self.words) - 1)).astype(np.int64)]
         return ((word >> (k & np.uint64(63))) & np.uint64(1)) == 1
 
 
