@@ -1,29 +1,41 @@
-"""Operator 3: n-gram Jaccard join by T-occurrence search with DivideSkip.
-
-Every document is a query against the inverted lists of word n-grams. A document
-keeps its ``SKETCH`` least n-gram hashes (all of them when it has fewer), and two
-documents whose n-gram sets reach the Jaccard threshold share at least T of
-these. DivideSkip sets aside the T-1 longest lists of a query, so a partner must
-occur in one of the remaining short lists; the short lists are merged (here by a
-distributed sort of their postings), the long ones are only probed. Which lists
-are long comes from corpus-wide counts in a sketch of fixed size, an order that
-all documents share. A passage that thousands of documents share makes long
-lists, so it costs nothing in the merge.
-
-Documents of one n-gram set are joined by a hash of the whole set, and only the
-least of them is searched for partners. Within a merged list every two documents
-meet, after a size filter and a comparison of 64 sampled hash bits, so a list of
-n documents costs n squared comparisons. Proposals are verified exactly
-on whole n-gram sets by binary probes (first each document's best partner, then
-whatever still joins two different components), and components make the groups.
-
-Search is approximate in the sketch and in the sampled bits; recall of grouped pairs against brute force is tested to be at least 0.9.
+"""Operator 3: exact n-gram Jaccard join by T-occurrence search with DivideSkip.
+
+Documents of one set of word n-grams are one class, told by a hash of the whole
+set; classes are searched, and no copy is ever expanded into pairs. Two sets of
+Jaccard ``THRESHOLD`` or more have an n-gram in common at least
+``T = ceil(THRESHOLD * n)`` times, n being the size of the larger one. So
+
+1. one exchange of all n-grams finds the inverted lists of two classes or more;
+   a class with fewer than T n-grams on such lists has no partner;
+2. a class's lists are ordered by length; its T-1 longest are set aside, and a
+   partner must occur on one of the other, short ones. Short lists are merged (a
+   distributed sort): their classes meet in pairs, after filters on sizes and on
+   what can still be shared behind the list;
+3. proposals are verified: each n-gram of the smaller set, those of the long
+   lists too, is probed in the larger set by binary search, and the pair stays if
+   it reaches the overlap. Sets are sent once for a block of a family, not for
+   each pair.
+
+Nothing is sampled, capped or estimated: every pair of classes that reaches the
+threshold is found (up to collisions of 64-bit hashes). Components of the pairs
+are the groups.
+
+Hot cases: n-grams whose cell of a counter table of fixed size is far fuller than
+the mean are taken as long without an exchange; of a class with very many copies
+only the least document posts, of any other at most one of a task's million
+n-grams; a list of more than ``BIG`` classes is cut into blocks, and every two
+blocks meet in a task of their own. The pairs of a family of m different texts
+are m squared, as each may be a link of its own.
 
 Defined results: a text without words (null, empty, blank) belongs to no group;
 a text of fewer than ``N`` words is a single n-gram; texts of equal n-gram sets
-are in one group; the least doc_id of a group is the one kept; rows with a null doc_id are
-ignored by the join and kept by ``apply``; repeated rows of one doc_id count as
-one document in the join and stay together in ``apply``.
+are in one class and one group; ``links`` counts a class's partner classes, so it
+is 0 where copies alone make a group; the least doc_id of a group is the one kept;
+rows with a null doc_id are ignored by the join and kept by ``apply``; repeated
+rows of one doc_id count as one document (of different texts: all their groups
+are one, the least class and the most links stand), and stay together in
+``apply``; other columns are ignored by the join and kept by ``apply``; an empty
+table has no groups.
 """
 
 from __future__ import annotations
@@ -36,18 +48,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _kernels as K
-from ._spark import PACKED, IdBitmap, Packer, Store, components, partitions, runs, table, unpack
+from ._spark import Store, buckets, components, runs, table
 
 N = 3
 THRESHOLD = 0.5
-SKETCH = 64
-#: Share of a full sketch that two similar documents have in common at least.
-SHARED = 0.375
-CELLS = 1 << 20
-#: Of the 64 sampled bits, so many agree at least; unlike documents agree on about half.
-AGREE = 39
-#: Pairs of a list's documents looked at in one go.
+CELLS = 1 << 18
+#: A cell is hot if it holds so many times the mean, and so many n-grams at least; only the way of its lists depends on it.
+HOT, HOT_LEAST = 8, 64
+#: Classes with more copies than this are told apart beforehand (the largest ``HOT_CLASSES`` of them).
+COPIES, HOT_CLASSES = 1000, 65_536
+#: Classes of a short list that meet in one go.
+BIG = 4096
+#: Sets in a block of verification.
+BLOCK = 256
+FLUSH = 1_000_000
+#: Pairs of a list's classes looked at in one go.
 PAIRS = 2_000_000
+_LOW = np.uint64((1 << 32) - 1)
+_ROWS = "kind int, bucket int, n int, m int, payload binary"
+_NAMES = ["kind", "bucket", "n", "m", "payload"]
 
 
 def _gram_sets(texts: list[str]) -> Iterator[np.ndarray]:
@@ -60,19 +79,35 @@ def _gram_sets(texts: list[str]) -> Iterator[np.ndarray]:
         yield np.unique(grams[s:e])
 
 
-def required(n: int) -> int:
-    """T: what a document with n distinct n-grams shares with a partner's sketch at least."""
-    return max(1, int(np.ceil(SHARED * SKETCH if n > SKETCH else THRESHOLD * n)))
+def _class(grams: np.ndarray) -> int:
+    return int(K.mix(np.add.reduce(K.mix(grams ^ np.uint64(0x9E3779B97F4A7C15)), keepdims=True) + np.uint64(len(grams))).view(np.int64)[0])
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(CELLS, np.int32)
+def needed(size: int | np.ndarray) -> int | np.ndarray:
+    """T: the n-grams that a set of this size shares with any partner at least."""
+    return np.ceil(THRESHOLD * size - 1e-9).astype(np.int64) if isinstance(size, np.ndarray) else int(np.ceil(THRESHOLD * size - 1e-9))
+
+
+# ---- classes and counters ----
+
+
+def _classes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a partition: each document's class and set size (kind 0), and counters of its n-grams (kind 1)."""
+    total = np.zeros(CELLS, np.int64)
+    names = ["kind", "doc", "class", "size", "counts"]
     for batch in batches:
-        for _, texts in K.chunks(batch):
-            found = [g[:SKETCH] for g in _gram_sets(texts)]
-            total += np.bincount((np.concatenate(found) & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS).astype(np.int32)
-    block = CELLS // 64
-    yield pa.RecordBatch.from_arrays([pa.array(np.arange(64, dtype=np.int32)), pa.array([total[i * block : (i + 1) * block].tobytes() for i in range(64)], pa.binary())], ["cell", "counts"])
+        for part, texts in K.chunks(batch):
+            made = list(_gram_sets(texts))
+            some = [i for i, g in enumerate(made) if len(g)]
+            if not some:
+                continue
+            total += np.bincount((np.concatenate(made) & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
+            k = len(some)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(k, np.int32)), pa.array(K.int_column(part, "doc_id")[some]), pa.array([_class(made[i]) for i in some], pa.int64()), pa.array([len(made[i]) for i in some], pa.int32()), pa.nulls(k, pa.binary())], names)
+    if total.any():
+        block = CELLS // 64
+        blobs = [np.minimum(total[i * block : (i + 1) * block], (1 << 31) - 1).astype(np.int32).tobytes() for i in range(64)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(64, np.int32)), pa.array(np.arange(64, dtype=np.int64)), pa.nulls(64, pa.int64()), pa.nulls(64, pa.int32()), pa.array(blobs, pa.binary())], names)
 
 
 def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,156 +115,376 @@ def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for c, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             held[c] = held.get(c, 0) + np.frombuffer(blob, np.int32).astype(np.int64)
-    capped = [np.minimum(v, (1 << 31) - 1).astype(np.int32).tobytes() for v in held.values()]
-    yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array(capped, pa.binary())], ["cell", "counts"])
+    yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([v.tobytes() for v in held.values()], pa.binary())], ["cell", "counts"])
+
+
+def hot_levels(scanned: DataFrame) -> np.ndarray:
+    """A table of fixed size: 0 for a cell that isn't hot, else an order by fullness."""
+    blobs = scanned.where("kind = 1").select(F.col("doc").cast("int").alias("cell"), "counts").repartitionById(64, "cell").mapInArrow(_add_up, "cell int, counts binary").collect()
+    counts = np.zeros(CELLS, np.int64)
+    for r in blobs:
+        own = np.frombuffer(r["counts"], np.int64)
+        counts[r["cell"] * len(own) : (r["cell"] + 1) * len(own)] = own
+    hot = counts > HOT * counts.mean() + HOT_LEAST
+    return np.where(hot, 1 + 8 * np.log2(np.maximum(counts, 1)), 0).astype(np.uint16)
+
+
+# ---- inverted lists ----
+
+
+class _Out:
+    """Values grouped by class, written as one blob per bucket: classes, how many values each has, and the values."""
+
+    def __init__(self, kind: int, n: int):
+        self.kind, self.n = kind, n
+
+    def rows(self, bucket: np.ndarray, owner: np.ndarray, heads: tuple[np.ndarray, ...], values: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+        """``owner`` numbers the class of each value, in runs; ``heads`` are per class, ``values`` per value."""
+        order = np.argsort(bucket, kind="stable")
+        bucket, owner, values = bucket[order], owner[order], [v[order] for v in values]
+        new = np.ones(len(bucket), bool)
+        new[1:] = (bucket[1:] != bucket[:-1]) | (owner[1:] != owner[:-1])
+        first = np.flatnonzero(new)
+        count = np.diff(np.append(first, len(bucket))).astype(np.int32)
+        heads = [h[owner[first]] for h in heads]
+        cut = np.concatenate(([0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)])) if len(bucket) else np.zeros(1, np.int64)
+        runs_at = np.searchsorted(first, cut)
+        blobs = [b"".join([*(h[x:y].tobytes() for h in heads), count[x:y].tobytes(), *(v[s:e].tobytes() for v in values)]) for s, e, x, y in zip(cut[:-1], cut[1:], runs_at[:-1], runs_at[1:])]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(blobs), self.kind, np.int32)), pa.array(bucket[cut[:-1]].astype(np.int32)), pa.array(np.diff(cut).astype(np.int32)), pa.array(np.diff(runs_at).astype(np.int32)), pa.array(blobs, pa.binary())], _NAMES)
+
+
+def _read(batch: pa.RecordBatch, kind: int, heads: tuple[type, ...], values: tuple[type, ...]) -> Iterator[tuple[int, list[np.ndarray], np.ndarray, list[np.ndarray]]]:
+    """Bucket, heads, values per head and values of each blob of a kind."""
+    for k, bucket, n, m, blob in zip(*(batch.column(i).to_pylist() for i in range(4)), batch.column(4)):
+        if k != kind:
+            continue
+        at, view = 0, blob.as_buffer()
 
+        def take(dtype: type, count: int) -> np.ndarray:
+            nonlocal at
+            out = np.frombuffer(view, dtype, count, at)
+            at += out.nbytes
+            return out
 
-def list_lengths(docs: DataFrame) -> np.ndarray:
-    """Approximate inverted-list lengths over all documents, a table of fixed size."""
-    made = docs.select("text").mapInArrow(_count, "cell int, counts binary").repartitionById(64, "cell").mapInArrow(_add_up, "cell int, counts binary").collect()
-    return np.concatenate([np.frombuffer(r["counts"], np.int32) for r in sorted(made, key=lambda r: r["cell"])])
+        h = [take(d, m) for d in heads]
+        yield bucket, h, take(np.int32, m), [take(d, n) for d in values]
 
 
-def _bits(grams: np.ndarray) -> int:
-    """One sampled bit of the least hash in each of 64 ranges of the hash space."""
-    place = (grams >> np.uint64(58)).astype(np.int64)
-    first = np.concatenate(([True], place[1:] != place[:-1]))
-    out = np.zeros(64, np.uint64)
-    out[place[first]] = grams[first] & np.uint64(1)
-    return int(np.bitwise_or.reduce(out << np.arange(64, dtype=np.uint64)))
+def _bucket(key: np.ndarray, n: int) -> np.ndarray:
+    return (((key >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)).astype(np.int32)
 
 
-def _post(buckets: int, lengths):
+def _named(grams: np.ndarray, n: int) -> np.ndarray:
+    """An n-gram's name: its bucket and the low half of its hash."""
+    return (_bucket(grams, n).astype(np.uint64) << np.uint64(32)) | (grams & _LOW)
+
+
+def _post(n: int, levels, hot_classes):
+    """The n-grams of each class for the exchange by n-gram (kind 0); set sizes and n-grams of hot lists for the one by class (kind 1)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = Packer(buckets)
+        held: dict[int, np.ndarray] = {}
+        size = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            name = np.array(list(held), np.int64).view(np.uint64)
+            width = np.array([len(g) for g in held.values()], np.int64)
+            grams, owner = np.concatenate(list(held.values())), np.repeat(np.arange(len(name)), width)
+            hot = levels.value[(grams & np.uint64(CELLS - 1)).astype(np.int64)] > 0
+            light = grams[~hot]
+            yield _Out(0, n).rows(_bucket(light, n), owner[~hot], (name,), ((light & _LOW).astype(np.uint32),))
+            # Every class sends its size; a hot n-gram of name 0 stands for none.
+            own = np.concatenate((owner[hot], np.arange(len(name))))
+            value = np.concatenate((_named(grams[hot], n), np.zeros(len(name), np.uint64)))
+            order = np.argsort(own, kind="stable")
+            yield _Out(1, n).rows(_bucket(name, n)[own[order]], own[order], (name, width.astype(np.int32)), (value[order],))
+
         for batch in batches:
             for part, texts in K.chunks(batch):
-                keys, docs, sizes, bits = [], [], [], []
-                for doc, grams in zip(K.int_column(part, "doc_id"), _gram_sets(texts)):
+                for doc, grams in zip(K.int_column(part, "doc_id").tolist(), _gram_sets(texts)):
                     if not len(grams):
                         continue
-                    own = grams[:SKETCH]
-                    short = len(own) - required(len(grams)) + 1
-                    order = np.lexsort((own, lengths.value[(own & np.uint64(CELLS - 1)).astype(np.int64)]))
-                    keys.append(own[order[:short]])
-                    docs.append(np.full(short, doc))
-                    sizes.append(np.full(short, len(grams), np.int32))
-                    bits.append(np.full(short, _bits(grams), np.uint64))
-                if keys:
-                    yield from packer.add(K.mix(np.concatenate(keys)), np.concatenate(docs), np.concatenate(sizes), np.concatenate(bits))
-        yield from packer.flush()
+                    name = _class(grams)
+                    if hot_classes.value.get(name, doc) == doc and name not in held:
+                        held[name] = grams
+                        size += len(grams)
+                if size >= FLUSH:
+                    yield from flush()
+                    held.clear()
+                    size = 0
+        if held:
+            yield from flush()
 
     return run
 
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Merge the short lists of a partition: proposals ``(a, b, agree)``, a < b, of every two documents of a list that pass the filters."""
-    key, doc, size, bits = unpack(batches, np.uint64, np.int64, np.int32, np.uint64)
-    order = np.lexsort((doc, key))
-    key, doc, size, bits = key[order], doc[order], size[order], bits[order]
-    cut = runs(key)
-    end = np.repeat(cut[1:], np.diff(cut)) if len(key) else np.zeros(0, np.int64)
-    later = end - 1 - np.arange(len(key))
-    done = np.cumsum(later)
-    found = [np.zeros((3, 0), np.int64)]
-    i = held = 0
-    while i < len(key):
-        stop = max(i + 1, int(np.searchsorted(done, (done[i - 1] if i else 0) + PAIRS, "right")))
-        y, offsets = K.ragged(np.arange(i, stop) + 1, later[i:stop])
-        x = np.repeat(np.arange(i, stop), np.diff(offsets))
-        agree = 64 - np.bitwise_count(bits[x] ^ bits[y]).astype(np.int64)
-        ok = (doc[x] != doc[y]) & (agree >= AGREE) & (np.minimum(size[x], size[y]) >= THRESHOLD * np.maximum(size[x], size[y]))
-        found.append(np.stack([doc[x[ok]], doc[y[ok]], agree[ok]]))
-        held, i = held + found[-1].shape[1], stop
-        if held > PAIRS or i >= len(key):
-            yield _distinct(*np.concatenate(found, axis=1))
-            found, held = [np.zeros((3, 0), np.int64)], 0
-
-
-def _distinct(a: np.ndarray, b: np.ndarray, agree: np.ndarray) -> pa.RecordBatch:
-    order = np.lexsort((b, a))
-    a, b, agree = a[order], b[order], agree[order]
-    new = np.ones(len(a), bool)
-    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    return pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new]), pa.array(agree[new].astype(np.int32))], ["a", "b", "agree"])
+def _level(length: np.ndarray) -> np.ndarray:
+    """List lengths on a scale of 8 bits."""
+    return np.minimum(255, 8 * np.log2(length)).astype(np.uint8)
+
 
+def _lists(n: int):
+    """Of the inverted lists of a partition, those of two classes or more go back to their classes, with the length."""
 
-def _sets(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[list[np.ndarray], list[np.ndarray]]] = {}
         for batch in batches:
-            batch = batch.filter(pa.array(sent.value.ids(K.int_column(batch, "doc_id"))))
-            for part, texts in K.chunks(batch):
-                grams = [(g >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes() for g in _gram_sets(texts)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(grams, pa.binary())], ["doc", "grams"])
+            other = batch.filter(pa.array(batch.column(0).to_numpy() == 1))
+            if other.num_rows:
+                yield other
+            for bucket, (name,), count, (key,) in _read(batch, 0, (np.uint64,), (np.uint32,)):
+                keys, names = held.setdefault(bucket, ([], []))
+                keys.append(key)
+                names.append(np.repeat(name, count))
+        for bucket, (keys, names) in held.items():
+            key, name = np.concatenate(keys), np.concatenate(names)
+            keys.clear()
+            names.clear()
+            order = np.argsort(key, kind="stable")
+            key, name = key[order], name[order]
+            many = np.zeros(len(key), bool)
+            many[1:] = key[1:] == key[:-1]
+            many[:-1] |= many[1:].copy()
+            key, name = key[many], name[many]
+            order = np.lexsort((name, key))
+            key, name = key[order], name[order]
+            new = np.ones(len(key), bool)
+            new[1:] = (key[1:] != key[:-1]) | (name[1:] != name[:-1])
+            key, name = key[new], name[new]
+            length = np.diff(runs(key))
+            length = np.repeat(length, length) if len(key) else np.zeros(0, np.int64)
+            key, name, length = key[length > 1], name[length > 1], length[length > 1]
+            order = np.argsort(name, kind="stable")
+            for s in range(0, len(order), FLUSH):
+                some = order[s : s + FLUSH]
+                classes, owner = np.unique(name[some], return_inverse=True)
+                yield _Out(2, n).rows(_bucket(classes, n)[owner], owner, (classes, np.full(len(classes), bucket, np.int32)), (key[some], _level(length[some])))
 
     return run
 
 
-def _wide(blob: bytes) -> np.ndarray:
-    out = np.zeros((len(blob) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(blob, np.uint8).reshape(-1, 5)
-    return out.reshape(-1).view("<u8")
+def _search(levels):
+    """Each class that may have a partner: set size, how many lists are short, and its n-grams on lists, shortest lists first."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, grams, level, heads, sizes = [], [], [], [], []
+        for batch in batches:
+            for _, (name, bucket), count, (key, own) in _read(batch, 2, (np.uint64, np.int32), (np.uint32, np.uint8)):
+                names.append(np.repeat(name, count))
+                grams.append((np.repeat(bucket, count).astype(np.uint64) << np.uint64(32)) | key)
+                level.append(own.astype(np.uint16))
+            for _, (name, size), count, (value,) in _read(batch, 1, (np.uint64, np.int32), (np.uint64,)):
+                heads.append(name)
+                sizes.append(size)
+                true = value > 0
+                names.append(np.repeat(name, count)[true])
+                grams.append(value[true])
+                level.append(256 + levels.value[(value[true] & np.uint64(CELLS - 1)).astype(np.int64)])
+        if not heads:
+            return
+        name, gram, rank = np.concatenate(names), np.concatenate(grams), np.concatenate(level)
+        heads, at = np.unique(np.concatenate(heads), return_index=True)
+        size = np.concatenate(sizes)[at]
+        order = np.lexsort((gram, rank, name))
+        name, gram = name[order], gram[order]
+        new = np.ones(len(name), bool)
+        new[1:] = (name[1:] != name[:-1]) | (gram[1:] != gram[:-1])
+        name, gram = name[new], gram[new]
+        lo, hi = np.searchsorted(name, heads), np.searchsorted(name, heads, "right")
+        short = hi - lo - needed(size) + 1
+        for s in range(0, len(heads), 1000):
+            some = [i for i in range(s, min(s + 1000, len(heads))) if short[i] > 0 and hi[i] > lo[i]]
+            yield pa.RecordBatch.from_arrays([pa.array(heads[some].view(np.int64)), pa.array(size[some]), pa.array(short[some].astype(np.int32)), pa.array([gram[lo[i] : hi[i]].tobytes() for i in some], pa.binary())], ["class", "size", "short", "grams"])
+
+    return run
+
+
+def _short(n: int):
+    """The short lists' postings: class, set size, and how many of its lists stand from this one on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count = [], 0
+
+        def flush() -> pa.RecordBatch:
+            name, size, short, total = (np.array([h[k] for h in held]) for k in range(4))
+            gram = np.concatenate([np.frombuffer(h[4], np.uint64, h[2]) for h in held])
+            owner = np.repeat(np.arange(len(held)), short)
+            place = np.arange(len(gram)) - np.repeat(np.cumsum(short) - short, short)
+            key = K.mix(gram)
+            return _Out(0, n).rows(_bucket(key, n), owner, (name.astype(np.int64), size.astype(np.int32)), ((key & _LOW).astype(np.uint32), (np.repeat(total, short) - place).astype(np.int32)))
+
+        for batch in batches:
+            for name, size, short, grams in zip(*(c.to_pylist() for c in batch.columns)):
+                held.append((name, size, short, len(grams) // 8, grams))
+                count += short
+                if count > FLUSH:
+                    yield flush()
+                    held.clear()
+                    count = 0
+        if held:
+            yield flush()
+
+    return run
 
-def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Exact Jaccard: each n-gram of the smaller set is probed in the larger one."""
-    for batch in batches:
-        out = []
-        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            x, y = sorted((_wide(x), _wide(y)), key=len)
-            at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-            both = int((y[at] == x).sum())
-            out.append(both / (len(x) + len(y) - both))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], ["a", "b", "jaccard"])
 
+def _may(size_x: np.ndarray, size_y: np.ndarray, rest_x: np.ndarray, rest_y: np.ndarray) -> np.ndarray:
+    """Whether two classes can reach the threshold if this is the first list that they share."""
+    overlap = THRESHOLD / (1 + THRESHOLD) * (size_x.astype(np.int64) + size_y) - 1e-6
+    return (np.minimum(size_x, size_y) >= THRESHOLD * np.maximum(size_x, size_y)) & (np.minimum(rest_x, rest_y) >= overlap)
 
-def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Two hashes of every document's whole n-gram set."""
+
+def _meet(name: np.ndarray, size: np.ndarray, rest: np.ndarray, later: np.ndarray, begin: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Distinct pairs of each posting with the ``later`` ones from ``begin`` on, in chunks."""
+    done = np.cumsum(later)
+    found, held, i = [], 0, 0
+    while i < len(name):
+        stop = max(i + 1, int(np.searchsorted(done, (done[i - 1] if i else 0) + PAIRS, "right")))
+        y, offsets = K.ragged(begin[i:stop], later[i:stop])
+        x = np.repeat(np.arange(i, stop), np.diff(offsets))
+        ok = _may(size[x], size[y], rest[x], rest[y]) & (name[x] != name[y])
+        x, y = name[x[ok]], name[y[ok]]
+        found.append(np.stack([np.minimum(x, y), np.maximum(x, y)]))
+        held, i = held + len(x), stop
+        if held > PAIRS or i >= len(name):
+            yield _distinct(np.concatenate(found, axis=1))
+            found, held = [], 0
+
+
+def _distinct(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((pairs[1], pairs[0]))
+    a, b = pairs[0][order], pairs[1][order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return a[new], b[new]
+
+
+_MET = "a long, b long, n int, m int, block binary"
+
+
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Merge the short lists of a partition: pairs that may reach the threshold, and blocks of the lists of more than ``BIG`` classes."""
+    keys, names, sizes, rests = [], [], [], []
     for batch in batches:
-        for part, texts in K.chunks(batch):
-            doc, made = K.int_column(part, "doc_id"), list(_gram_sets(texts))
-            some = [i for i, g in enumerate(made) if len(g)]
-            both = [[int(np.add.reduce(K.mix(made[i] ^ np.uint64(c))).view(np.int64)) for i in some] for c in (1, 0x9E3779B97F4A7C15)]
-            yield pa.RecordBatch.from_arrays([pa.array(doc[some]), *(pa.array(x, pa.int64()) for x in both)], ["doc", "h1", "h2"])
+        for _, (name, size), count, (key, rest) in _read(batch, 0, (np.int64, np.int32), (np.uint32, np.int32)):
+            keys.append(key)
+            names.append(np.repeat(name, count))
+            sizes.append(np.repeat(size, count))
+            rests.append(rest)
+    if not keys:
+        return
+    key, name, size, rest = (np.concatenate(x) for x in (keys, names, sizes, rests))
+    order = np.lexsort((name, key))
+    key, name, size, rest = key[order], name[order], size[order], rest[order]
+    cut = runs(key)
+    length = np.diff(cut)
+    for s, e in zip(cut[:-1][length > BIG].tolist(), cut[1:][length > BIG].tolist()):
+        parts = np.array_split(np.arange(s, e), -(-2 * (e - s) // BIG))
+        for i, x in enumerate(parts):
+            for y in parts[i:] if i + 1 == len(parts) else parts[i + 1 :]:
+                own = x if x is y else np.concatenate((x, y))
+                blob = b"".join(c[own].tobytes() for c in (name, size, rest))
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([len(own)], pa.int32()), pa.array([0], pa.int32()), pa.array([blob], pa.binary())], ["a", "b", "n", "m", "block"])
+    keep = np.repeat((length > 1) & (length <= BIG), length)
+    name, size, rest, end = name[keep], size[keep], rest[keep], np.cumsum(length[(length > 1) & (length <= BIG)])
+    here = np.arange(len(name))
+    later = np.repeat(end, np.diff(np.concatenate(([0], end)))) - 1 - here if len(name) else here
+    for a, b in _meet(name, size, rest, later, here + 1):
+        yield _pair_rows(a, b)
+
+
+def _pair_rows(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    k = len(a)
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], ["a", "b", "n", "m", "block"])
+
+
+def _meet_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for n, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
+            view = blob.as_buffer()
+            name, size, rest = np.frombuffer(view, np.int64, n), np.frombuffer(view, np.int32, n, 8 * n), np.frombuffer(view, np.int32, n, 12 * n)
+            here = np.arange(n)
+            for a, b in _meet(name, size, rest, n - 1 - here, here + 1):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
 
-def equal_sets(docs: DataFrame) -> DataFrame:
-    """``(a, b)``: every document b whose n-gram set is that of a lesser one, a the least."""
-    whole = docs.mapInArrow(_whole, "doc long, h1 long, h2 long")
-    least = whole.groupBy("h1", "h2").agg(F.min("doc").alias("a"), F.count("*").alias("c")).where("c > 1")
-    return whole.join(least, ["h1", "h2"]).where("doc <> a").select("a", F.col("doc").alias("b")).distinct()
+# ---- verification ----
 
 
-def _checked(docs: DataFrame, pairs: DataFrame, store: Store) -> DataFrame:
-    """The pairs that reach the threshold on whole n-gram sets."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc"))
-    sent = docs.sparkSession.sparkContext.broadcast(IdBitmap(ends, "doc"))
-    sets = docs.mapInArrow(_sets(sent), "doc long, grams binary").dropDuplicates(["doc"])
-    x, y = sets.select(F.col("doc").alias("a"), F.col("grams").alias("x")), sets.select(F.col("doc").alias("b"), F.col("grams").alias("y"))
-    return store.keep(pairs.select("a", "b").join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(_probe, "a long, b long, jaccard double").where(F.col("jaccard") >= THRESHOLD))
+def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Exact Jaccard within cells: sets come before pairs; each n-gram of the smaller set is probed in the larger one."""
+    at, sets = None, {}
+    for batch in batches:
+        out: list[tuple[int, int, float]] = []
+        for root, i, j, kind, a, b, size, grams in zip(*(c.to_pylist() for c in batch.columns)):
+            if (root, i, j) != at:
+                at, sets = (root, i, j), {}
+            if kind == 0:
+                sets[a] = (size, np.sort(np.frombuffer(grams, np.uint64)))
+                continue
+            (m, x), (n, y) = sets[a], sets[b]
+            if len(x) > len(y):
+                x, y = y, x
+            both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+            if both >= THRESHOLD * (m + n - both) - 1e-9:
+                out.append((a, b, both / (m + n - both)))
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.float64())], ["a", "b", "jaccard"])
+
+
+def _verify(store: Store, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs that reach the threshold. A family of proposals is cut into blocks; a set goes to the cells of two blocks that ask for it."""
+    roots = components(store, pairs)
+    blocks = roots.join(roots.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("k")), "root").select("node", "root", F.expr("cast(pmod(xxhash64(node), k) as int)").alias("block"))
+    blocks = store.keep(blocks)
+    side = lambda c: blocks.select(F.col("node").alias(c), *([F.col("root")] if c == "a" else []), F.col("block").alias(f"in_{c}"))
+    placed = store.keep(pairs.join(side("a"), "a").join(side("b"), "b").select("root", F.least("in_a", "in_b").alias("i"), F.greatest("in_a", "in_b").alias("j"), "a", "b"))
+    asked = placed.select("root", "i", "j", "a").union(placed.select("root", "i", "j", F.col("b").alias("a"))).distinct()
+    sent = asked.join(sets.select(F.col("class").alias("a"), "size", "grams"), "a").select("root", "i", "j", F.lit(0).alias("kind"), "a", F.lit(None).cast("long").alias("b"), "size", "grams")
+    rows = sent.union(placed.select("root", "i", "j", F.lit(1), "a", "b", F.lit(None).cast("int"), F.lit(None).cast("binary")))
+    out = store.keep(rows.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "kind").mapInArrow(_probe, "a long, b long, jaccard double"))
+    store.drop(blocks, placed)
+    return out
+
+
+def links(docs: DataFrame, store: Store) -> tuple[DataFrame, DataFrame]:
+    """All documents with their class, ``(doc, class, size)``, and all pairs of classes that reach the threshold, ``(a, b, jaccard)``."""
+    spark, n = docs.sparkSession, buckets(docs)
+    docs = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
+    scanned = store.keep(docs.mapInArrow(_classes_of, "kind int, doc long, class long, size int, counts binary"))
+    known = scanned.where("kind = 0").select("doc", "class", "size")
+    hot = known.groupBy("class").agg(F.count("*").alias("c"), F.min("doc").alias("least")).where(F.col("c") > COPIES).orderBy(F.desc("c"), "class").limit(HOT_CLASSES).collect()
+    levels = spark.sparkContext.broadcast(hot_levels(scanned))
+    hot_classes = spark.sparkContext.broadcast({r["class"]: r["least"] for r in hot})
+    listed = docs.mapInArrow(_post(n, levels, hot_classes), _ROWS).repartitionById(n, "bucket").mapInArrow(_lists(n), _ROWS)
+    sets = store.keep(listed.repartitionById(n, "bucket").mapInArrow(_search(levels), "class long, size int, short int, grams binary"))
+    met = store.keep(sets.mapInArrow(_short(n), _ROWS).repartitionById(n, "bucket").mapInArrow(_merge, _MET))
+    blocks = met.where("block is not null").select("n", "block").repartition(n).mapInArrow(_meet_blocks, "a long, b long")
+    pairs = store.keep(met.where("block is null").select("a", "b").union(blocks).distinct())
+    store.drop(met)
+    found = _verify(store, pairs, sets)
+    store.drop(pairs, sets)
+    return known, found
 
 
 def groups(docs: DataFrame, store: Store | None = None) -> DataFrame:
-    """``(doc_id, group_id, kept)`` of every document that is in a group of two or more."""
-    spark = docs.sparkSession
-    store, n = store or Store(spark), partitions(spark)
-    docs = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
-    equal = store.keep(equal_sets(docs))
-    every, docs = docs, docs.join(equal.select(F.col("b").alias("doc_id")), "doc_id", "left_anti")
-    lengths = spark.sparkContext.broadcast(list_lengths(every))
-    pairs = docs.mapInArrow(_post(n, lengths), PACKED).repartitionById(n, "bucket").mapInArrow(_merge, "a long, b long, agree int")
-    pairs = store.keep(pairs.groupBy("a", "b").agg(F.max("agree").alias("agree")))
-    best = pairs.groupBy("b").agg(F.max(F.struct("agree", (-F.col("a")).alias("a"))).alias("m")).select((-F.col("m.a")).alias("a"), "b")
-    first = _checked(every, best, store)
-    roots = store.keep(components(store, first))
-    side = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
-    open_pairs = store.keep(
-        pairs.join(best, ["a", "b"], "left_anti").join(side("a"), "a", "left").join(side("b"), "b", "left")
-        .where("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b")
-    )
-    second = _checked(every, open_pairs, store)
-    edges = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(second.select("a", "b")).union(equal)
-    return components(store, edges).select(F.col("node").alias("doc_id"), F.col("root").alias("group_id"), (F.col("node") == F.col("root")).alias("kept"))
+    """``(doc_id, group_id, class_id, links, kept)`` of every document that has a copy or a link.
+
+    ``class_id`` is the least document of the same n-gram set, ``links`` how many
+    other classes reach the threshold with it, ``group_id`` the least document that
+    links lead to.
+    """
+    store = store or Store(docs.sparkSession)
+    known, found = links(docs, store)
+    degree = found.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count("*").alias("links"))
+    least = known.groupBy("class").agg(F.min("doc").alias("rep"), F.max("doc").alias("most"))
+    classes = store.keep(least.join(degree, "class", "left").where("rep <> most or links is not null").select("class", "rep", F.coalesce("links", F.lit(0)).alias("links")))
+    members = store.keep(known.join(classes, "class").select("doc", "rep", "links").distinct())
+    side = lambda c: classes.select(F.col("class").alias(c), F.col("rep").alias(f"r{c}"))
+    both = members.groupBy("doc").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi").select("doc", "lo")
+    edges = found.join(side("a"), "a").join(side("b"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")).union(members.join(both, "doc").select("lo", "rep"))
+    roots = components(store, edges)
+    store.drop(classes, found)
+    placed = members.join(roots.withColumnRenamed("node", "rep"), "rep", "left").groupBy("doc").agg(F.min(F.coalesce("root", "rep")).alias("group_id"), F.min("rep").alias("class_id"), F.max("links").alias("links"))
+    return placed.select(F.col("doc").alias("doc_id"), "group_id", "class_id", "links", (F.col("doc") == F.col("group_id")).alias("kept"))
 
 
 def apply(docs: DataFrame, grouped: DataFrame) -> DataFrame:
