@@ -96,9 +96,11 @@ class Packer:
     def bucket(self, key: np.ndarray) -> np.ndarray:
         return (((key >> np.uint64(32)) * np.uint64(self.buckets)) >> np.uint64(32)).astype(np.int32)
 
-    def add(self, key: np.ndarray, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def add(self, key: np.ndarray, *columns: np.ndarray, spread: bool = False) -> Iterator[pa.RecordBatch]:
+        """spread: rows that needn't meet go to buckets in turn, so that no key is hot."""
         if len(key):
-            self._held.append((self.bucket(key), key.astype(np.uint32) if self._narrow else key, *columns))
+            bucket = ((self._rows + np.arange(len(key))) // 256 % self.buckets).astype(np.int32) if spread else self.bucket(key)
+            self._held.append((bucket, key.astype(np.uint32) if self._narrow else key, *columns))
             self._rows += len(key)
         if self._rows >= FLUSH_ROWS:
             yield from self.flush()
