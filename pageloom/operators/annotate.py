@@ -30,14 +30,24 @@ def _key(password: str | Column) -> Column:
     return F.unhex(F.md5((password if isinstance(password, Column) else F.lit(password)).cast("binary")))
 
 
+def seal(body: Column, password: str | Column) -> Column:
+    """AES-GCM under a key that is the unsalted MD5 of the password: it keeps pages from being read in passing, no more."""
+    return F.aes_encrypt(body.cast("binary"), _key(password))
+
+
+def unseal(cipher: Column, password: str | Column) -> Column:
+    """The sealed body; null under a wrong password."""
+    return F.try_aes_decrypt(cipher, _key(password)).cast("string")
+
+
 def encrypt(pages: DataFrame, password: str) -> DataFrame:
     """Add ``cipher`` in place of body. AES-GCM by Spark; not compatible with PDF encryption."""
-    return pages.withColumn("cipher", F.aes_encrypt(F.col("body").cast("binary"), _key(password))).withColumn("body", F.lit(None).cast("string")).withColumn("encrypted", F.lit(True))
+    return pages.withColumn("cipher", seal(F.col("body"), password)).withColumn("body", F.lit(None).cast("string")).withColumn("encrypted", F.lit(True))
 
 
 def decrypt(pages: DataFrame, password: str) -> DataFrame:
     """Restore body; ``status`` is ``not_encrypted``, ``wrong_password`` or ``ok``."""
-    plain = F.try_aes_decrypt(F.col("cipher"), _key(password)).cast("string")
+    plain = unseal(F.col("cipher"), password)
     state = F.when(~F.coalesce(F.col("encrypted"), F.lit(False)), "not_encrypted").when(F.col("cipher").isNotNull() & plain.isNull(), "wrong_password").otherwise("ok")
     return pages.withColumn("status", state).withColumn("body", F.when(F.col("encrypted"), plain).otherwise(F.col("body"))).drop("cipher")
 

@@ -1,9 +1,9 @@
 """Executing intents: one Spark plan for all documents and commands, no files between steps.
 
 A chain is first rewritten (ranges composed, rotations added, deletions united,
-encryption last), then folded over the page operators with its arguments as
-columns, so that thousands of different chains still are a single join of pages
-with intents.
+encryption last) and folded over the page operators by ``run_chain``; ``execute``
+takes the arguments of many commands as columns, so that thousands of different
+chains still are a single join of pages with intents.
 """
 
 from __future__ import annotations
@@ -123,15 +123,19 @@ def message(chain: Column, target: Column) -> Column:
     return F.concat(said, F.lit(": tamam, "), F.coalesce(F.try_element_at(place, target), F.lit("bulunduğu klasöre")))
 
 
-def execute(intents: DataFrame, pages: DataFrame) -> DataFrame:
-    """Apply every command's chain to its document's pages: doc_pages with ``cmd_id``, encryption as a flag.
+def execute(intents: DataFrame, pages: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """Apply every command's chain to its document's pages: doc_pages with ``cmd_id``, ``encrypted`` and ``cipher``.
 
     ``intents`` carry doc_id. Deleted pages are counted by arithmetic on the
-    argument array, so there is no window; pages are joined once.
+    argument array, so there is no window; pages are joined once. An encrypted
+    page has a cipher under the command's password in place of its body. ``counts``
+    are the documents' page counts; without them pages are counted.
     """
+    from ..operators.annotate import seal
     from ..operators.pages import page_count
 
-    ready = statuses(intents, page_count(pages)).where("status = 'ok'").select("cmd_id", "doc_id", "_start", "_end", "_gone", "_angle", "_text", "_encrypt")
+    counts = page_count(pages) if counts is None else counts
+    ready = statuses(intents, counts).where("status = 'ok'").select("cmd_id", "doc_id", "_start", "_end", "_gone", "_angle", "_text", "_encrypt", "_password")
     j = pages.join(ready, "doc_id").where("_start is null or page_no between _start and _end")
     j = j.withColumn("page_no", F.col("page_no") - F.coalesce(F.col("_start") - 1, F.lit(0)))
     j = j.where(F.col("_gone").isNull() | ~F.array_contains("_gone", F.col("page_no")))
@@ -140,7 +144,18 @@ def execute(intents: DataFrame, pages: DataFrame) -> DataFrame:
     j = j.withColumn("rotation", F.pmod(F.col("rotation") + F.coalesce("_angle", F.lit(0)), F.lit(360)))
     mark = F.struct(F.lit("text").alias("kind"), F.col("_text").alias("text"), F.lit(0.3).alias("opacity"), F.lit(45).alias("angle"), F.lit(60).alias("size"), F.lit(297.5).alias("x"), F.lit(421.0).alias("y"), F.lit(None).cast("double").alias("w"), F.lit(None).cast("double").alias("h"))
     j = j.withColumn("overlays", F.when(F.col("_text").isNotNull(), F.array_append("overlays", mark)).otherwise(F.col("overlays")))
-    return j.withColumn("encrypted", F.col("_encrypt")).drop("_start", "_end", "_gone", "_angle", "_text", "_encrypt")
+    j = j.withColumn("cipher", F.when(F.col("_encrypt"), seal(F.col("body"), F.col("_password")))).withColumn("body", F.when(~F.col("_encrypt"), F.col("body"))).withColumn("encrypted", F.col("_encrypt"))
+    return j.drop("_start", "_end", "_gone", "_angle", "_text", "_encrypt", "_password")
+
+
+def text_outputs(done: DataFrame, intents: DataFrame) -> DataFrame:
+    """The text files that chains with ``pdf_to_text`` make of the pages they leave: ``(cmd_id, out_name, text)``; a sealed page has no text."""
+    from ..sources.text import export_text
+
+    wanted = side_outputs(intents).where("action = 'pdf_to_text'").select("cmd_id", "out_name")
+    pages = done.join(wanted.select("cmd_id"), "cmd_id", "left_semi")
+    made = export_text(pages.drop("doc_id").withColumnRenamed("cmd_id", "doc_id")).withColumnRenamed("doc_id", "cmd_id")
+    return wanted.join(made, "cmd_id", "left").select("cmd_id", "out_name", F.coalesce("content", F.lit("")).alias("text"))
 
 
 def side_outputs(intents: DataFrame) -> DataFrame:

@@ -493,20 +493,31 @@ def cmd_chain(spark, d):
     return planner.report(intents_of_documents(spark, d), _counts(spark, d))
 
 
-@query(
-    f"""WITH a AS MATERIALIZED (SELECT * FROM {ACTIONS}), n AS (SELECT {COUNTS[1:-1].replace("SELECT ", "", 1).replace(" FROM documents", "")} FROM documents),
+_EXECUTED = f"""WITH a AS MATERIALIZED (SELECT * FROM {ACTIONS}), n AS (SELECT {COUNTS[1:-1].replace("SELECT ", "", 1).replace(" FROM documents", "")} FROM documents),
     q AS (SELECT n.doc_id, n_pages, (SELECT {_SPLIT_ARG("start")} FROM a s WHERE s.cmd_id = n.doc_id AND action = 'split') AS s, (SELECT {_SPLIT_ARG("end")} FROM a s WHERE s.cmd_id = n.doc_id AND action = 'split') AS e,
       (SELECT list_distinct(list_transform(string_split(substr(args, 7), ','), x -> CAST(x AS INTEGER))) FROM a g WHERE g.cmd_id = n.doc_id AND action = 'delete_pages') AS gone, (SELECT CAST(substr(args, 7) AS INTEGER) FROM a r WHERE r.cmd_id = n.doc_id AND action = 'rotate') AS angle,
       (SELECT substr(args, 6) FROM a w WHERE w.cmd_id = n.doc_id AND action = 'watermark') AS mark, (SELECT count(*) > 0 FROM a w WHERE w.cmd_id = n.doc_id AND action = 'encrypt') AS encrypted, (SELECT count(*) FROM a w WHERE w.cmd_id = n.doc_id) AS steps FROM n),
     f AS (SELECT cmd_id FROM (SELECT cmd_id, {_FILE} AS file FROM {READY}) WHERE file <> ''),
     v AS (SELECT q.* FROM q JOIN f ON f.cmd_id = q.doc_id WHERE steps > 0 AND (s IS NULL OR s >= 1 AND e <= n_pages AND s <= e)),
-    p AS (SELECT v.*, page_no AS src_page, page_no - coalesce(s - 1, 0) AS p FROM v JOIN {DOC_PAGES} d ON d.doc_id = v.doc_id WHERE s IS NULL OR page_no BETWEEN s AND e)
-    SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY p) AS INTEGER) AS page_no, src_page, coalesce(angle, 0) AS rotation, mark, encrypted FROM p WHERE gone IS NULL OR NOT list_contains(gone, p)"""
-)
+    p AS (SELECT v.*, body, page_no AS src_page, page_no - coalesce(s - 1, 0) AS p FROM v JOIN {DOC_PAGES} d ON d.doc_id = v.doc_id WHERE s IS NULL OR page_no BETWEEN s AND e)
+    SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY p) AS INTEGER) AS page_no, src_page, coalesce(angle, 0) AS rotation, mark, encrypted, body FROM p WHERE gone IS NULL OR NOT list_contains(gone, p)"""
+
+
+@query(_EXECUTED.replace("encrypted, body FROM p", "encrypted, CASE WHEN NOT encrypted THEN body END AS body FROM p"))
 def cmd_execute(spark, d):
-    """Every document's command carried out on its pages."""
-    done = planner.execute(intents_of_documents(spark, d), _docs(spark, d))
-    return done.select("doc_id", "page_no", "src_page", "rotation", F.get("overlays", F.lit(0))["text"].alias("mark"), "encrypted")
+    """Every document's command carried out on its pages; encrypted pages have no body."""
+    done = planner.execute(intents_of_documents(spark, d), _docs(spark, d), _counts(spark, d))
+    return done.select("doc_id", "page_no", "src_page", "rotation", F.get("overlays", F.lit(0))["text"].alias("mark"), "encrypted", "body")
+
+
+@query(_EXECUTED)
+def cmd_execute_decrypt(spark, d):
+    """The same, encrypted pages opened again with their command's password."""
+    intents = intents_of_documents(spark, d)
+    done = planner.execute(intents, _docs(spark, d), _counts(spark, d))
+    opened = annotate.unseal(F.col("cipher"), F.col("_password"))
+    joined = done.join(planner.with_arguments(intents).select("cmd_id", "_password"), "cmd_id")
+    return joined.select("doc_id", "page_no", "src_page", "rotation", F.get("overlays", F.lit(0))["text"].alias("mark"), "encrypted", F.when(F.col("encrypted"), opened).otherwise(F.col("body")).alias("body"))
 
 
 @query(f"SELECT a.cmd_id, action, regexp_replace(input_file, '\\.[^.]*$', '') || CASE action WHEN 'ocr' THEN '_ocr.txt' WHEN 'pdf_to_image' THEN '_resimler/' WHEN 'pdf_to_word' THEN '.docx' ELSE '.txt' END AS out_name FROM {ACTIONS} a JOIN {INTENTS} i ON i.cmd_id = a.cmd_id WHERE ord >= 7")

@@ -15,7 +15,7 @@ import zlib
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, GreaterThanOrEqual, InputPartition, LessThanOrEqual, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 SCHEMA = "path string, page_no int, body string, rotation int, w double, h double"
 _OBJECT = re.compile(rb"(\d+)\s+\d+\s+obj\b(.*?)\bendobj", re.S)
@@ -137,17 +137,7 @@ class _File(InputPartition):
 
 class _Reader(DataSourceReader):
     def __init__(self, path: str):
-        self.root, self.low, self.high = path, 1, None
-
-    def pushFilters(self, filters):
-        """Page bounds stop the reading of a file early; Spark applies the other filters."""
-        for f in filters:
-            if getattr(f, "attribute", None) == ("page_no",) and isinstance(f, GreaterThanOrEqual):
-                self.low = max(self.low, f.value)
-            elif getattr(f, "attribute", None) == ("page_no",) and isinstance(f, LessThanOrEqual):
-                self.high = f.value if self.high is None else min(self.high, f.value)
-            else:
-                yield f
+        self.root = path
 
     def partitions(self):
         if os.path.isfile(self.root):
@@ -159,8 +149,7 @@ class _Reader(DataSourceReader):
         with open(partition.path, "rb") as f:
             pages = read_pdf(f.read())
         for number, page in enumerate(pages, 1):
-            if number >= self.low and (self.high is None or number <= self.high):
-                yield (partition.path, number, *page)
+            yield (partition.path, number, *page)
 
 
 class _Written(WriterCommitMessage):

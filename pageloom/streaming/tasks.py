@@ -6,7 +6,6 @@ from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from typing import Any
 
-from pyspark import InheritableThread  # noqa: F401  (jobs of a thread keep its tags)
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,17 +17,18 @@ class Task:
         self._spark, self.tag = spark, tag
 
         def run() -> Any:
-            spark.addTag(tag)
+            spark.sparkContext.addJobTag(tag)
             try:
                 return action()
             finally:
-                spark.removeTag(tag)
+                spark.sparkContext.removeJobTag(tag)
 
         self._pool = ThreadPoolExecutor(1)
         self._future = self._pool.submit(run)
 
-    def cancel(self) -> list[str]:
-        return self._spark.interruptTag(self.tag)
+    def cancel(self) -> None:
+        """Cancel the running jobs of the action; its result is then an error that says so."""
+        self._spark.sparkContext.cancelJobsWithTag(self.tag)
 
     def result(self, timeout: float | None = None) -> Any:
         try:
