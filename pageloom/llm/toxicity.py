@@ -9,7 +9,10 @@ is all that scoring needs: one scan of the corpus, no shuffle.
 Defined results: a null or empty text scores the bias alone and is not toxic; a
 null label isn't used for training; a document labelled more than once is
 trained on once per label row; extra columns are kept by ``reject`` and ignored
-by ``score``. With fewer than two classes among the labels nothing is toxic.
+by ``score``. With fewer than three labelled rows of a class nothing is toxic (each
+fold of the threshold's choice needs one). Texts of one to three characters have
+no feature and score the bias alone; a score equal to the threshold isn't toxic;
+long texts are read whole; repeated rows score alike; an empty table gives no row.
 """
 
 from __future__ import annotations
