@@ -26,39 +26,52 @@ def slots(text):
     return out
 
 
-def windows(text):
+def windows(text, widths=None):
     t = slots(text)
-    size = min(len(t), dc.WINDOW)
-    for i in range(len(t) - size + 1 if t else 0):
-        part = t[i : i + size]
-        if 2 * sum(v is None for _, v in part) >= size:
-            yield tuple(k for k, _ in part), i, tuple(v for _, v in part)
+    for size in widths or [min(len(t), dc.WINDOW)]:
+        for i in range(len(t) - size + 1 if t else 0):
+            part = t[i : i + size]
+            if size == dc.WINDOW and any(v is None for _, v in part):
+                yield tuple(k for k, _ in part), i, tuple(v for _, v in part)
+            else:
+                yield ("=", *(k if v is None else v for k, v in part)), i, (None,) * size
+
+
+def consistent(found):
+    to, fro = defaultdict(Counter), defaultdict(Counter)
+    for _, _, x, y in found:
+        for a, b in zip(x, y):
+            if a is not None:
+                to[a][b] += 1
+                fro[b][a] += 1
+    top = lambda c, k: {v for v, n in c[k].items() if n == max(c[k].values())}
+    return len({i for i, _, x, y in found if all(a is None or (b in top(to, a) and a in top(fro, b)) for a, b in zip(x, y))})
 
 
 def brute(docs, items):
-    index, total = defaultdict(list), {}
+    index, total, widths = defaultdict(list), {}, set()
     for item, text in items:
         own = list(windows(text))
+        widths.add(min(len(slots(text)), dc.WINDOW))
         total[item] = len({i for _, i, _ in own})
         for key, i, values in own:
             index[key].append((item, i, values))
     out = {}
     for doc, text in docs:
         found = defaultdict(set)
-        for key, _, values in windows(text):
+        for key, at, values in windows(text, sorted(widths - {0})):
             for item, i, mine in index[key]:
-                found[item].add((i, mine, values))
+                found[item].add((i, at - i, mine, values))
         for item, f in found.items():
-            to, fro = defaultdict(Counter), defaultdict(Counter)
-            for _, x, y in f:
-                for a, b in zip(x, y):
-                    if a is not None:
-                        to[a][b] += 1
-                        fro[b][a] += 1
-            top = lambda c, k: {v for v, n in c[k].items() if n == max(c[k].values())}
-            good = {i for i, x, y in f if all(a is None or (b in top(to, a) and a in top(fro, b)) for a, b in zip(x, y))}
-            if len(good) >= dc.COVER * total[item]:
-                out[doc, item] = len(good) / total[item]
+            parts, one = [f], []
+            for w in sorted(f, key=lambda w: w[1]):
+                if one and w[1] > one[-1][1] + dc.SLACK:
+                    parts.append(one)
+                    one = []
+                one.append(w)
+            good = max(consistent(x) for x in [*parts, one])
+            if good >= dc.COVER * total[item]:
+                out[doc, item] = good / total[item]
     return out
 
 
@@ -87,10 +100,26 @@ def test_other_names_and_numbers_are_found(spark, make):
 def test_slots_must_be_consistent():
     item = "x = A plus B gives C when A meets B"
     win = list(windows(item))
-    same = lambda m: [(i, np.array([0 if v is None else hash(v) % 1000 + 1 for v in vs], np.uint64).tobytes(), np.array([0 if v is None else m(v) for v in vs], np.uint64).tobytes()) for _, i, vs in win]
+    same = lambda m: [(i, i, np.array([0 if v is None else hash(v) % 1000 + 1 for v in vs], np.uint64).tobytes(), np.array([0 if v is None else m(v) for v in vs], np.uint64).tobytes()) for _, i, vs in win]
     assert dc.consistent_windows(same(lambda v: hash(v) % 1000 + 5000)) == {i for _, i, _ in win}
 
 
+def test_arithmetic_short_items_and_several_versions(spark, make):
+    filler = "and then some quite unrelated words follow here "
+    sums = "12 + 7 = 19 , 14 + 8 = 22 , 15 + 9 = 24"
+    pens = "Anna bought 3 red pens, Boris sold 4 blue cups, Carla lost 5 green hats"
+    other = "Dora bought 6 red pens, Emil sold 9 blue cups, Frida lost 8 green hats"
+    items = [(1, sums), (2, "water boils quickly"), (3, pens)]
+    docs = [(1, filler + sums + " " + filler), (2, filler + "the Water boils quickly, " + filler), (3, filler + pens + " " + filler), (4, f"{other} {filler} {pens} {filler} {other}"), (5, filler + sums.replace("7", "6").replace("9", "3") + filler), (6, filler * 3), (7, f"{filler * 400}{other}")]
+    assert leaks(make, (spark, items), docs) == {(1, 1), (2, 2), (3, 3), (4, 3), (7, 3)}
+
+
+def test_repeated_rows(spark, make):
+    half = len(ITEM) // 2
+    docs = [(1, ITEM), (1, ITEM), (2, ITEM[:half]), (2, ITEM[half:])]
+    assert (1, 7) in leaks(make, (spark, [(7, ITEM), (7, ITEM)]), docs)
+
+
 def test_odd_rows(spark, odd, nothing):
     bench = table(spark, D1, "benchmark")
     assert dc.leaks(odd, bench).count() == 0
