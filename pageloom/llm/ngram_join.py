@@ -346,10 +346,8 @@ def _meet(name: np.ndarray, size: np.ndarray, rest: np.ndarray, later: np.ndarra
         found.append(np.stack([np.minimum(x, y), np.maximum(x, y)]))
         held, i = held + len(x), stop
         if held > PAIRS or i >= len(name):
-            found = [np.stack(_distinct(np.concatenate(found, axis=1)))]
-            held = 0
-            if found[0].shape[1] > PAIRS or i >= len(name):
-                yield tuple(found.pop())
+            yield _distinct(np.concatenate(found, axis=1))
+            found, held = [], 0
 
 
 def _distinct(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -458,8 +456,7 @@ def links(docs: DataFrame, store: Store) -> tuple[DataFrame, DataFrame]:
     hot_classes = spark.sparkContext.broadcast({r["class"]: r["least"] for r in hot})
     listed = docs.mapInArrow(_post(n, levels, hot_classes), _ROWS).repartitionById(n, "bucket").mapInArrow(_lists(n), _ROWS)
     sets = store.keep(listed.repartitionById(n, "bucket").mapInArrow(_search(levels), "class long, size int, short int, grams binary"))
-    few = max(1, n // 4)  # a pair is told once a task, however many short lists of it the pair shares
-    met = store.keep(sets.mapInArrow(_short(few), _ROWS).repartitionById(few, "bucket").mapInArrow(_merge, _MET))
+    met = store.keep(sets.mapInArrow(_short(n), _ROWS).repartitionById(n, "bucket").mapInArrow(_merge, _MET))
     blocks = met.where("block is not null").select("n", "block").repartition(n).mapInArrow(_meet_blocks, "a long, b long")
     pairs = store.keep(met.where("block is null").select("a", "b").union(blocks).distinct())
     store.drop(met)
