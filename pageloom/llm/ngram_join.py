@@ -10,10 +10,13 @@ Jaccard ``THRESHOLD`` or more have an n-gram in common at least
 2. a class's lists are ordered by length; its T-1 longest are set aside, and a
    partner must occur on one of the other, short ones. Short lists are merged (a
    distributed sort): their classes meet in pairs, after filters on sizes and on
-   what can still be shared behind the list;
-3. proposals are verified: each n-gram of the smaller set, those of the long
-   lists too, is probed in the larger set by binary search, and the pair stays if
-   it reaches the overlap. Sets are sent once for a block of a family, not for
+   what can still be shared behind the list. A posting also names ``MARKS`` of its
+   class's short lists, the least by as many hashes; two classes of one mark meet
+   on that list and on no other, so a pair is told about once however many lists
+   it shares, and a list most of whose classes have one mark isn't written out;
+3. proposals are verified: all n-grams of one set, those of the long lists too,
+   are looked up among those of the other, and the pair stays if it reaches the
+   overlap. Sets are sent once for a block of a family, not for
    each pair.
 
 Nothing is sampled, capped or estimated: every pair of classes that reaches the
@@ -44,6 +47,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,10 +65,13 @@ COPIES, HOT_CLASSES = 1000, 65_536
 BIG = 4096
 #: Sets in a block of verification.
 BLOCK = 256
+#: Short lists that a class names with each posting.
+MARKS = 3
 FLUSH = 1_000_000
 #: Pairs of a list's classes looked at in one go.
 PAIRS = 2_000_000
 _LOW = np.uint64((1 << 32) - 1)
+_SEEDS = [np.uint64(int(x)) for x in np.random.default_rng(23).integers(1, 1 << 62, 64)]
 _ROWS = "kind int, bucket int, n int, m int, payload binary"
 _NAMES = ["kind", "bucket", "n", "m", "payload"]
 
@@ -299,8 +306,20 @@ def _search(levels):
     return run
 
 
+def _marks(key: np.ndarray, count: np.ndarray) -> list[np.ndarray]:
+    """``MARKS`` lists of each class: the least of its short lists by each hash; ``key`` in runs of ``count``."""
+    begin = np.cumsum(count) - count
+    owner = np.repeat(np.arange(len(count)), count)
+    out = []
+    for seed in _SEEDS[:MARKS]:
+        h = K.mix(key ^ seed)
+        at = np.flatnonzero(h == np.minimum.reduceat(h, begin)[owner])
+        out.append(key[at[np.unique(owner[at], return_index=True)[1]]])
+    return out
+
+
 def _short(n: int):
-    """The short lists' postings: class, set size, and how many of its lists stand from this one on."""
+    """The short lists' postings: class, set size, its lists in all, its marks, and how many of its lists stand from this one on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count = [], 0
@@ -311,7 +330,7 @@ def _short(n: int):
             owner = np.repeat(np.arange(len(held)), short)
             place = np.arange(len(gram)) - np.repeat(np.cumsum(short) - short, short)
             key = K.mix(gram)
-            return _Out(0, n).rows(_bucket(key, n), owner, (name.astype(np.int64), size.astype(np.int32)), ((key & _LOW).astype(np.uint32), (np.repeat(total, short) - place).astype(np.int32)))
+            return _Out(0, n).rows(_bucket(key, n), owner, (name.astype(np.int64), size.astype(np.int32), total.astype(np.int32), *(_named(m, n) for m in _marks(key, short))), ((key & _LOW).astype(np.uint32), (np.repeat(total, short) - place).astype(np.int32)))
 
         for batch in batches:
             for name, size, short, grams in zip(*(c.to_pylist() for c in batch.columns)):
@@ -333,21 +352,70 @@ def _may(size_x: np.ndarray, size_y: np.ndarray, rest_x: np.ndarray, rest_y: np.
     return (np.minimum(size_x, size_y) >= THRESHOLD * np.maximum(size_x, size_y)) & (np.minimum(rest_x, rest_y) >= overlap)
 
 
-def _meet(name: np.ndarray, size: np.ndarray, rest: np.ndarray, later: np.ndarray, begin: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Distinct pairs of each posting with the ``later`` ones from ``begin`` on, in chunks."""
+class Postings:
+    """Postings of lists, those of a list together and in order of first mark."""
+
+    KINDS = (np.int64, np.int32, np.int32, np.int32)
+
+    def __init__(self, name: np.ndarray, size: np.ndarray, total: np.ndarray, rest: np.ndarray, *marks: np.ndarray):
+        """The first of ``marks`` is the posting's own list, the others those of its class."""
+        self.name, self.size, self.total, self.rest, self.at, self.marks = name, size, total, rest, marks[0], marks[1:]
+
+    def pick(self, some: np.ndarray) -> Postings:
+        return Postings(*(c[some] for c in self.columns()))
+
+    def columns(self) -> list[np.ndarray]:
+        return [self.name, self.size, self.total, self.rest, self.at, *self.marks]
+
+    def pack(self) -> bytes:
+        return b"".join(c.tobytes() for c in self.columns())
+
+    @classmethod
+    def unpack(cls, n: int, view: pa.Buffer) -> Postings:
+        out, at = [], 0
+        for kind in (*cls.KINDS, *[np.uint64] * (1 + MARKS)):
+            out.append(np.frombuffer(view, kind, n, at))
+            at += out[-1].nbytes
+        return cls(*out)
+
+    def met(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Of two postings of a list: whether their classes may reach the threshold and no other list tells them."""
+        ok, told = np.zeros(len(x), bool), np.zeros(len(x), bool)
+        for m in self.marks:
+            same = ~told & (m[x] == m[y])
+            ok |= same & (m[x] == self.at[x])
+            told |= same
+        rest = [np.where(told, self.total[z], self.rest[z]) for z in (x, y)]
+        return (ok | ~told) & _may(self.size[x], self.size[y], *rest) & (self.name[x] != self.name[y])
+
+
+def _meet(p: Postings, end: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Distinct pairs of the postings of each list, which goes to ``end``; repeats are told again only where there are very many pairs."""
+    n = len(p.name)
+    here = np.arange(n)
+    new = np.ones(n + 1, bool)
+    if n:
+        new[1:-1] = (p.marks[0][1:] != p.marks[0][:-1]) | (end[1:] != end[:-1])
+    cut = np.flatnonzero(new)
+    # Of one first mark meet on its list only.
+    begin = np.where(p.marks[0] == p.at, here + 1, np.repeat(cut[1:], np.diff(cut)))
+    later = end - begin
     done = np.cumsum(later)
     found, held, i = [], 0, 0
-    while i < len(name):
+    while i < n:
         stop = max(i + 1, int(np.searchsorted(done, (done[i - 1] if i else 0) + PAIRS, "right")))
         y, offsets = K.ragged(begin[i:stop], later[i:stop])
         x = np.repeat(np.arange(i, stop), np.diff(offsets))
-        ok = _may(size[x], size[y], rest[x], rest[y]) & (name[x] != name[y])
-        x, y = name[x[ok]], name[y[ok]]
+        ok = p.met(x, y)
+        x, y = p.name[x[ok]], p.name[y[ok]]
         found.append(np.stack([np.minimum(x, y), np.maximum(x, y)]))
         held, i = held + len(x), stop
-        if held > PAIRS or i >= len(name):
-            yield _distinct(np.concatenate(found, axis=1))
-            found, held = [], 0
+        if held > 2 * PAIRS or i >= n:
+            a, b = _distinct(np.concatenate(found, axis=1))
+            found, held = [np.stack([a, b])], len(a)
+            if held > PAIRS or i >= n:
+                yield a, b
+                found, held = [], 0
 
 
 def _distinct(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -363,33 +431,28 @@ _MET = "a long, b long, n int, m int, block binary"
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Merge the short lists of a partition: pairs that may reach the threshold, and blocks of the lists of more than ``BIG`` classes."""
-    keys, names, sizes, rests = [], [], [], []
+    held: dict[int, list[list[np.ndarray]]] = {}
     for batch in batches:
-        for _, (name, size), count, (key, rest) in _read(batch, 0, (np.int64, np.int32), (np.uint32, np.int32)):
-            keys.append(key)
-            names.append(np.repeat(name, count))
-            sizes.append(np.repeat(size, count))
-            rests.append(rest)
-    if not keys:
-        return
-    key, name, size, rest = (np.concatenate(x) for x in (keys, names, sizes, rests))
-    order = np.lexsort((name, key))
-    key, name, size, rest = key[order], name[order], size[order], rest[order]
-    cut = runs(key)
-    length = np.diff(cut)
-    for s, e in zip(cut[:-1][length > BIG].tolist(), cut[1:][length > BIG].tolist()):
-        parts = np.array_split(np.arange(s, e), -(-2 * (e - s) // BIG))
-        for i, x in enumerate(parts):
-            for y in parts[i:] if i + 1 == len(parts) else parts[i + 1 :]:
-                own = x if x is y else np.concatenate((x, y))
-                blob = b"".join(c[own].tobytes() for c in (name, size, rest))
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([len(own)], pa.int32()), pa.array([0], pa.int32()), pa.array([blob], pa.binary())], ["a", "b", "n", "m", "block"])
-    keep = np.repeat((length > 1) & (length <= BIG), length)
-    name, size, rest, end = name[keep], size[keep], rest[keep], np.cumsum(length[(length > 1) & (length <= BIG)])
-    here = np.arange(len(name))
-    later = np.repeat(end, np.diff(np.concatenate(([0], end)))) - 1 - here if len(name) else here
-    for a, b in _meet(name, size, rest, later, here + 1):
-        yield _pair_rows(a, b)
+        for bucket, heads, count, (key, rest) in _read(batch, 0, (np.int64, np.int32, np.int32, *[np.uint64] * MARKS), (np.uint32, np.int32)):
+            held.setdefault(bucket, []).append([key, rest, *(np.repeat(h, count) for h in heads)])
+    for bucket, own in held.items():
+        key, rest, name, size, total, *marks = (np.concatenate(x) for x in zip(*own))
+        own.clear()
+        order = np.lexsort((name, marks[0], key))
+        key, (name, size, total, rest, *marks) = key[order], (c[order] for c in (name, size, total, rest, *marks))
+        cut = runs(key)
+        length = np.diff(cut)
+        p = Postings(name, size, total, rest, np.uint64(bucket << 32) | key, *marks)
+        for s, e in zip(cut[:-1][length > BIG].tolist(), cut[1:][length > BIG].tolist()):
+            parts = np.array_split(np.arange(s, e), -(-2 * (e - s) // BIG))
+            for i, x in enumerate(parts):
+                for y in parts[i:] if i + 1 == len(parts) else parts[i + 1 :]:
+                    both = x if x is y else np.concatenate((x, y))
+                    yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([len(both)], pa.int32()), pa.array([0], pa.int32()), pa.array([p.pick(both).pack()], pa.binary())], ["a", "b", "n", "m", "block"])
+        some = (length > 1) & (length <= BIG)
+        p, length = p.pick(np.repeat(some, length)), length[some]
+        for a, b in _meet(p, np.repeat(np.cumsum(length), length)):
+            yield _pair_rows(a, b)
 
 
 def _pair_rows(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
@@ -400,10 +463,7 @@ def _pair_rows(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
 def _meet_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for n, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
-            view = blob.as_buffer()
-            name, size, rest = np.frombuffer(view, np.int64, n), np.frombuffer(view, np.int32, n, 8 * n), np.frombuffer(view, np.int32, n, 12 * n)
-            here = np.arange(n)
-            for a, b in _meet(name, size, rest, n - 1 - here, here + 1):
+            for a, b in _meet(Postings.unpack(n, blob.as_buffer()), np.full(n, n)):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
 
@@ -411,23 +471,55 @@ def _meet_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Exact Jaccard within cells: sets come before pairs; each n-gram of the smaller set is probed in the larger one."""
-    at, sets = None, {}
+    """Exact Jaccard within cells: sets come before pairs, and those by ``a``; the n-grams of each ``b`` are looked up among the marked ones of ``a``."""
+    cell, sets, made = None, {}, None
     for batch in batches:
-        out: list[tuple[int, int, float]] = []
-        for root, i, j, kind, a, b, size, grams in zip(*(c.to_pylist() for c in batch.columns)):
-            if (root, i, j) != at:
-                at, sets = (root, i, j), {}
-            if kind == 0:
-                sets[a] = (size, np.sort(np.frombuffer(grams, np.uint64)))
+        root, i, j, kind, a, b, size = (pc.fill_null(batch.column(k), 0).to_numpy(zero_copy_only=False) for k in range(7))
+        new = np.ones(len(root) + 1, bool)
+        new[1:-1] = (root[1:] != root[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]) | (kind[1:] != kind[:-1])
+        cut = np.flatnonzero(new)
+        for s, e in zip(cut[:-1].tolist(), cut[1:].tolist()):
+            if (root[s], i[s], j[s]) != cell:
+                cell, sets, made = (root[s], i[s], j[s]), {}, None
+            if kind[s] == 0:
+                for k in range(s, e):
+                    sets[int(a[k])] = (int(size[k]), np.frombuffer(batch.column(7)[k].as_buffer(), np.uint64).copy())
                 continue
-            (m, x), (n, y) = sets[a], sets[b]
-            if len(x) > len(y):
-                x, y = y, x
-            both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-            if both >= THRESHOLD * (m + n - both) - 1e-9:
-                out.append((a, b, both / (m + n - both)))
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.float64())], ["a", "b", "jaccard"])
+            made = made or _Cell(sets)
+            yield from made.probe(a[s:e], b[s:e])
+
+
+class _Cell:
+    """The sets of a cell, their n-grams numbered."""
+
+    def __init__(self, sets: dict[int, tuple[int, np.ndarray]]):
+        self.name = np.array(sorted(sets), np.int64)
+        own = [sets[k] for k in self.name.tolist()]
+        self.size = np.array([x[0] for x in own], np.int64)
+        self.length = np.array([len(x[1]) for x in own], np.int64)
+        self.start = np.cumsum(self.length) - self.length
+        grams, at = np.unique(np.concatenate([x[1] for x in own]), return_inverse=True)
+        self.grams, self.mark = at.astype(np.int32), np.zeros(len(grams), np.uint8)
+        sets.clear()
+
+    def probe(self, a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
+        x, y = np.searchsorted(self.name, a), np.searchsorted(self.name, b)
+        both = np.zeros(len(x), np.int64)
+        cut = runs(x)
+        for s, e in zip(cut[:-1].tolist(), cut[1:].tolist()):
+            own = self.grams[self.start[x[s]] : self.start[x[s]] + self.length[x[s]]]
+            self.mark[own] = 1
+            done = np.cumsum(self.length[y[s:e]])
+            k = s
+            while k < e:
+                stop = min(e, max(k + 1, s + int(np.searchsorted(done, (done[k - s - 1] if k > s else 0) + PAIRS, "right"))))
+                at, offsets = K.ragged(self.start[y[k:stop]], self.length[y[k:stop]])
+                both[k:stop] = np.add.reduceat(self.mark[self.grams[at]], offsets[:-1], dtype=np.int64)
+                k = stop
+            self.mark[own] = 0
+        either = self.size[x] + self.size[y] - both
+        ok = both >= THRESHOLD * either - 1e-9
+        yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok]), pa.array(both[ok] / either[ok])], ["a", "b", "jaccard"])
 
 
 def _verify(store: Store, pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -440,7 +532,7 @@ def _verify(store: Store, pairs: DataFrame, sets: DataFrame) -> DataFrame:
     asked = placed.select("root", "i", "j", "a").union(placed.select("root", "i", "j", F.col("b").alias("a"))).distinct()
     sent = asked.join(sets.select(F.col("class").alias("a"), "size", "grams"), "a").select("root", "i", "j", F.lit(0).alias("kind"), "a", F.lit(None).cast("long").alias("b"), "size", "grams")
     rows = sent.union(placed.select("root", "i", "j", F.lit(1), "a", "b", F.lit(None).cast("int"), F.lit(None).cast("binary")))
-    out = store.keep(rows.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "kind").mapInArrow(_probe, "a long, b long, jaccard double"))
+    out = store.keep(rows.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "kind", "a").mapInArrow(_probe, "a long, b long, jaccard double"))
     store.drop(blocks, placed)
     return out
 

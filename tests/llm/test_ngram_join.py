@@ -144,3 +144,15 @@ def test_all_rows_equal(make):
     docs = make([(i, "the very same words in every one of these rows") for i in range(50)])
     kept = nj.apply(docs, nj.groups(docs)).collect()
     assert [r["doc_id"] for r in kept] == [0]
+
+
+def test_a_pair_is_told_about_once_however_many_lists_it_shares(spark, make):
+    """Near copies of one text share most of their lists, which are spread over all tasks."""
+    rng = np.random.default_rng(5)
+    base, n = " ".join(f"w{i}" for i in rng.permutation(3000)[:300]), 16
+    docs = make([(i, changed(rng, base, 4)) for i in range(60)])
+    cold, none = spark.sparkContext.broadcast(np.zeros(nj.CELLS, np.uint16)), spark.sparkContext.broadcast({})
+    listed = docs.select("doc_id", "text").repartition(2).mapInArrow(nj._post(n, cold, none), nj._ROWS).repartitionById(n, "bucket").mapInArrow(nj._lists(n), nj._ROWS)
+    sets = listed.repartitionById(n, "bucket").mapInArrow(nj._search(cold), "class long, size int, short int, grams binary")
+    met = sets.mapInArrow(nj._short(n), nj._ROWS).repartitionById(n, "bucket").mapInArrow(nj._merge, nj._MET).select("a", "b").collect()
+    assert len({tuple(r) for r in met}) == 60 * 59 // 2 and len(met) < 1.2 * 60 * 59 // 2
