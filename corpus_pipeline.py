@@ -11,13 +11,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from pageloom.llm import bpe, decontaminate, line_dedup, ngram_join, toxicity
-from pageloom.llm._spark import Store, table
+from pageloom.llm._spark import Store, give_back, table
 
 ORACLE_SQL = None
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return toxicity.reject(docs, toxicity.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+    model = toxicity.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    give_back()  # what training took on the driver; the stages after it need the room
+    return toxicity.reject(docs, model)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
