@@ -21,6 +21,8 @@ from . import _kernels as K
 FLUSH_ROWS = 1_000_000
 #: Edges of a forest that one task joins; more take distributed rounds.
 ALONE = 2_000_000
+#: Whether Spark deletes the shuffle files of a command as soon as it has run, not when the driver collects its garbage.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def give_back() -> None:
@@ -63,7 +65,8 @@ class Store:
     """Tables written to the shared folder, so that a lost executor costs a read and no recomputation.
 
     ``drop`` deletes a table that nothing reads any more; what a result still
-    reads stays until the driver ends.
+    reads stays until the driver ends. Shuffle files behind a table go as soon as
+    it is written.
     """
 
     def __init__(self, spark: SparkSession):
@@ -74,7 +77,12 @@ class Store:
     def keep(self, df: DataFrame) -> DataFrame:
         self._n += 1
         path = f"{self._at}/{self._n}"
-        df.write.parquet(path)
+        before = self.spark.conf.get(CLEAN, "false")
+        self.spark.conf.set(CLEAN, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(CLEAN, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._pageloom_path = path
         return out

@@ -546,8 +546,10 @@ def links(docs: DataFrame, store: Store) -> tuple[DataFrame, DataFrame]:
     hot = known.groupBy("class").agg(F.count("*").alias("c"), F.min("doc").alias("least")).where(F.col("c") > COPIES).orderBy(F.desc("c"), "class").limit(HOT_CLASSES).collect()
     levels = spark.sparkContext.broadcast(hot_levels(scanned))
     hot_classes = spark.sparkContext.broadcast({r["class"]: r["least"] for r in hot})
-    listed = docs.mapInArrow(_post(n, levels, hot_classes), _ROWS).repartitionById(n, "bucket").mapInArrow(_lists(n), _ROWS)
+    # Kept, so that the postings are gone before the lists that they made move.
+    listed = store.keep(docs.mapInArrow(_post(n, levels, hot_classes), _ROWS).repartitionById(n, "bucket").mapInArrow(_lists(n), _ROWS))
     sets = store.keep(listed.repartitionById(n, "bucket").mapInArrow(_search(levels), "class long, size int, short int, grams binary"))
+    store.drop(listed)
     met = store.keep(sets.mapInArrow(_short(n), _ROWS).repartitionById(n, "bucket").mapInArrow(_merge, _MET))
     blocks = met.where("block is not null").select("n", "block").repartition(n).mapInArrow(_meet_blocks, "a long, b long")
     pairs = store.keep(met.where("block is null").select("a", "b").union(blocks).distinct())

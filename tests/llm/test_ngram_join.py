@@ -1,4 +1,5 @@
 import itertools
+import time
 from collections import Counter
 
 import numpy as np
@@ -6,7 +7,7 @@ import pytest
 from cases import D1, D2, ODD
 
 from pageloom.llm import ngram_join as nj
-from pageloom.llm._spark import table
+from pageloom.llm._spark import Store, table
 
 
 def grams(text):
@@ -156,3 +157,17 @@ def test_a_pair_is_told_about_once_however_many_lists_it_shares(spark, make):
     sets = listed.repartitionById(n, "bucket").mapInArrow(nj._search(cold), "class long, size int, short int, grams binary")
     met = sets.mapInArrow(nj._short(n), nj._ROWS).repartitionById(n, "bucket").mapInArrow(nj._merge, nj._MET).select("a", "b").collect()
     assert len({tuple(r) for r in met}) == 60 * 59 // 2 and len(met) < 1.2 * 60 * 59 // 2
+
+
+def test_shuffle_files_go_with_the_table_that_they_made(spark):
+    """Postings, lists and proposals don't lie on disk together until the driver happens to collect its garbage."""
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: {n for f in files.getAllFiles().mkString("\n").split("\n") if (n := f.rpartition("/")[2]).startswith("shuffle_")}
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    store, before, was = Store(spark), shuffles(), spark.conf.get(setting, "false")
+    kept = store.keep(spark.range(1000).repartition(7, "id"))
+    until = time.time() + 20
+    while shuffles() - before and time.time() < until:
+        time.sleep(0.1)
+    assert not shuffles() - before
+    assert kept.count() == 1000 and spark.conf.get(setting) == was
