@@ -1,10 +1,14 @@
 """Operator 1: repeated passages by a run-length index (r-index).
 
 Every window of ``LEAST`` words has an anchor, the least hashed ``KMER``-word
-gram in it, so equal windows have equal anchors. Anchors that occur in two or
+gram in it, so equal windows have equal anchors at equal places. The windows of an
+anchor in which it stands at one of ``STEP`` neighbouring places share a core, the
+words around it that all of them hold. Cores that occur in two or
 more documents bring the windows they stand for together, and each such block of
 contexts, equal ones once, is indexed: suffix array by prefix doubling,
 Burrows-Wheeler transform, its runs, and suffix samples at the run ends only.
+A core alone with more than ``BLOCK`` words of different contexts is too much for
+one index; its windows are compared by 64-bit hashes, with the same results.
 Matching statistics then stream backwards through the contexts: inside a run, LF-mapping carries a match
 with the neighbouring suffix on and lengthens it by one; at a run's start the
 sampled end of the previous run of that word is the new neighbour. Rows joined
@@ -34,7 +38,9 @@ from ._spark import PACKED, IdBitmap, Packer, Store, partitions, runs, table, un
 
 LEAST = 50
 KMER = 8
-#: Words indexed at once; a block of contexts of one anchor is never split.
+#: Neighbouring places of an anchor in its windows that have one core, of ``LEAST - STEP + 1`` words.
+STEP = 22
+#: Words indexed at once, or hashed at once for a core with more.
 BLOCK = 250_000
 _PLACE = np.uint64((1 << 28) - 1)
 
@@ -46,7 +52,7 @@ def _words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def anchors(words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Anchor hash, text index, first window and number of windows for every run of windows with one anchor."""
+    """Core hash, text index, first window and number of windows for every run of windows with one core."""
     none = np.zeros(0, np.int64)
     n = len(words)
     if n < LEAST:
@@ -67,10 +73,12 @@ def anchors(words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
         return none.astype(np.uint64), none, none, none
     place = (least[start] & _PLACE).astype(np.int64)
     text = np.repeat(np.arange(len(count)), count)
+    group = (place - start) // STEP
     new = np.ones(len(start), bool)
-    new[1:] = (place[1:] != place[:-1]) | (text[1:] != text[:-1])
+    new[1:] = (place[1:] != place[:-1]) | (group[1:] != group[:-1]) | (text[1:] != text[:-1])
     first = np.flatnonzero(new)
-    return gram[place[first]], text[first], start[first] - at[text[first]], np.diff(np.append(first, len(start)))
+    core = place[first] - STEP * group[first]
+    return K.SpanHash(words)(core, core + LEAST - STEP + 1), text[first], start[first] - at[text[first]], np.diff(np.append(first, len(start)))
 
 
 def _anchor_rows(buckets: int):
@@ -86,7 +94,7 @@ def _anchor_rows(buckets: int):
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The anchors of a partition that two documents have."""
+    """The cores of a partition that two documents have."""
     key, doc, first, count = unpack(batches, np.uint64, np.int64, np.int32, np.int32)
     order = np.lexsort((doc, key))
     key, doc, first, count = key[order], doc[order], first[order], count[order]
@@ -94,11 +102,11 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if len(key):
         keep = np.repeat(doc[cut[:-1]] != doc[cut[1:] - 1], np.diff(cut))
         key, doc, first, count = key[keep], doc[keep], first[keep], count[keep]
-    yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(key.view(np.int64)), pa.array(first), pa.array(count)], ["doc_id", "anchor", "first", "count"])
+    yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(key.view(np.int64)), pa.array(first), pa.array(count)], ["doc_id", "core", "first", "count"])
 
 
 def _context_rows(buckets: int):
-    """Each anchor with the words of its windows, packed by anchor; equal contexts are sent once with all their places."""
+    """Each core with the words of its windows, packed by core; equal contexts are sent once with all their places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer, held, size = Packer(buckets), [], 0
@@ -238,10 +246,28 @@ def repeated(contexts: list[np.ndarray], low: np.ndarray, high: np.ndarray) -> t
     return context[row][keep], place[row][keep], least[block][keep]
 
 
+def hashed(contexts: list[np.ndarray], low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What ``repeated`` finds, by hashes of the windows; needs no index over all words."""
+    length = np.array([len(c) for c in contexts], np.int64)
+    count = length - LEAST + 1
+    window = np.empty(int(count.sum()), np.uint64)
+    done = 0
+    for part in np.split(np.arange(len(contexts)), np.flatnonzero(np.diff(np.cumsum(length) // BLOCK)) + 1):
+        at, _ = K.ragged(np.cumsum(length[part]) - length[part], count[part])
+        window[done : done + len(at)] = K.SpanHash(np.concatenate([contexts[i] for i in part]))(at, at + LEAST)
+        done += len(at)
+    order = np.argsort(window)
+    cut = runs(window[order])
+    context = np.repeat(np.arange(len(contexts)), count)[order]
+    least = np.minimum.reduceat(low[context], cut[:-1])
+    keep = np.repeat(least != np.maximum.reduceat(high[context], cut[:-1]), np.diff(cut))
+    least = np.repeat(least, np.diff(cut))
+    return context[keep], (order - (np.cumsum(count) - count)[context])[keep], least[keep]
+
+
 def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    # Equal contexts of an anchor are indexed once, however many documents have them.
+    # Equal contexts of a core are held and indexed once, however many documents have them.
     known: dict[tuple[int, bytes], int] = {}
-    contexts: list[np.ndarray] = []
     kinds, docs, firsts = [], [], []
     for batch in batches:
         for n, blob in zip(batch.column(1).to_pylist(), batch.column(2)):
@@ -252,36 +278,30 @@ def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 at += head[-1].nbytes
             key, length, copies = head
             total = int(copies.sum())
-            docs.append(np.frombuffer(view, np.int64, total, at))
-            firsts.append(np.frombuffer(view, np.int32, total, at + 8 * total))
+            # Copied, so that what has been read isn't held.
+            docs.append(np.frombuffer(view, np.int64, total, at).copy())
+            firsts.append(np.frombuffer(view, np.int32, total, at + 8 * total).copy())
             words = np.split(np.frombuffer(view, np.uint32, int(length.sum(dtype=np.int64)), at + 12 * total), np.cumsum(length, dtype=np.int64)[:-1])
-            own = np.empty(n, np.int64)
-            for i, (k, w) in enumerate(zip(key.tolist(), words)):
-                own[i] = known.setdefault((k, w.tobytes()), len(known))
-                if own[i] == len(contexts):
-                    contexts.append(w)
-            kinds.append(np.repeat(own, copies))
+            kinds.append(np.repeat([known.setdefault((k, w.tobytes()), len(known)) for k, w in zip(key.tolist(), words)], copies))
     if not known:
         return
     kind, doc, first = np.concatenate(kinds), np.concatenate(docs), np.concatenate(firsts).astype(np.int64)
     key = np.array([k for k, _ in known], np.uint64)
+    contexts = [np.frombuffer(w, np.uint32) for _, w in known]
     by_kind = np.lexsort((doc, kind))
     members = runs(kind[by_kind])
     low, high = doc[by_kind[members[:-1]]], doc[by_kind[members[1:] - 1]]
     order = np.argsort(key, kind="stable")
     cut = runs(key[order])
-    begin = size = 0
-    pieces = []
-    for s, e in zip(cut[:-1], cut[1:]):
-        size += sum(len(contexts[i]) for i in order[s:e])
-        if size > BLOCK:
-            pieces.append(order[begin:e])
-            begin, size = e, 0
-    pieces.append(order[begin:])
-    for some in pieces:
+    words = np.add.reduceat(np.array([len(c) for c in contexts], np.int64)[order], cut[:-1])
+    pieces: list[tuple] = [(hashed, order[cut[i] : cut[i + 1]]) for i in np.flatnonzero(words > BLOCK)]
+    small = np.flatnonzero(words <= BLOCK)
+    for some in np.split(small, np.flatnonzero(np.diff(np.cumsum(words[small]) // BLOCK)) + 1):
+        pieces.append((repeated, order[K.ragged(cut[some], np.diff(cut)[some])[0]]))
+    for find, some in pieces:
         if not len(some):
             continue
-        which, place, least = repeated([contexts[i] for i in some], low[some], high[some])
+        which, place, least = find([contexts[i] for i in some], low[some], high[some])
         by = np.lexsort((place, which))
         which, place, least = which[by], place[by], least[by]
         new = np.ones(len(which), bool)
@@ -305,14 +325,14 @@ def passages(docs: DataFrame, store: Store | None = None) -> DataFrame:
     spark = docs.sparkSession
     store, n = store or Store(spark), partitions(spark)
     docs = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
-    found = store.keep(docs.mapInArrow(_anchor_rows(n), PACKED).repartitionById(n, "bucket").mapInArrow(_shared, "doc_id long, anchor long, first int, count int"))
+    found = store.keep(docs.mapInArrow(_anchor_rows(n), PACKED).repartitionById(n, "bucket").mapInArrow(_shared, "doc_id long, core long, first int, count int"))
     sent = spark.sparkContext.broadcast(IdBitmap(found.select("doc_id").distinct(), "doc_id"))
 
     def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array(sent.value.ids(K.int_column(batch, "doc_id"))))
 
-    per = found.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "first", "count")).alias("found"))
+    per = found.groupBy("doc_id").agg(F.collect_list(F.struct("core", "first", "count")).alias("found"))
     joined = docs.mapInArrow(some, "doc_id long, text string").join(per, "doc_id")
     pieces = joined.mapInArrow(_context_rows(n), PACKED).repartitionById(n, "bucket").mapInArrow(_match, "doc_id long, start_word long, end_word long, first_doc_id long")
     order = Window.partitionBy("doc_id").orderBy("start_word", "end_word")

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from cases import D1, D2, LONG
 
@@ -64,6 +65,52 @@ def test_repetitive_texts(make):
     assert merged(found(make(rows))) == merged(brute(rows)) and 6 not in {d for d, *_ in found(make(rows))}
 
 
+def met(texts):
+    """Keys that two of the texts have."""
+    key, text, _, _ = ri.anchors(*ri._words(texts))
+    return {k for k in key.tolist() if len(set(text[key == k].tolist())) > 1}
+
+
+def test_a_common_phrase_gathers_nothing():
+    """Texts with a phrase of ``KMER`` words in common, often the least hashed, and no window."""
+    rng = np.random.default_rng(8)
+    fresh = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 1 << 40, n))
+    for length, some in ((ri.KMER, False), (ri.LEAST, True)):
+        for _ in range(30):
+            phrase = fresh(length)
+            assert bool(met([f"{fresh(60)} {phrase} {fresh(60)}" for _ in range(5)])) == some
+
+
+@pytest.mark.parametrize("block", [60, 3000])
+def test_no_index_exceeds_its_block(monkeypatch, block):
+    """One short passage in many documents with other words around it, besides longer ones and equal copies."""
+    rng = np.random.default_rng(9)
+    fresh = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 1 << 40, n))
+    short, longer = fresh(ri.LEAST + 5), fresh(200)
+    texts = [f"{fresh(30)} {short} {fresh(30)}" for _ in range(150)] + [f"{fresh(20)} {longer}" for _ in range(4)] + ["ha " * 120, "ha " * 90] + [fresh(90)] * 3
+    docs = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
+    shared = pa.Table.from_batches(ri._shared(ri._anchor_rows(1)(iter([docs])))).to_pydict()
+    rows = [dict(zip(list(shared)[1:], x)) for x in zip(*list(shared.values())[1:])]
+    per = [[r for r, d in zip(rows, shared["doc_id"]) if d == i] for i in range(len(texts))]
+    joined = docs.append_column("found", pa.array(per, pa.list_(pa.struct([(c, t) for c, t in zip(list(shared)[1:], (pa.int64(), pa.int32(), pa.int32()))]))))
+    sizes = []
+    build = ri.RunIndex.__init__
+    monkeypatch.setattr(ri.RunIndex, "__init__", lambda self, contexts: (sizes.append(sum(map(len, contexts))), build(self, contexts))[1])
+    monkeypatch.setattr(ri, "BLOCK", block)
+    got = [tuple(r.values())[:3] + (0,) for b in ri._match(ri._context_rows(1)(iter([joined]))) for r in b.to_pylist()]
+    assert merged(got) == merged(brute(list(enumerate(texts)))) and max(sizes, default=0) <= 2 * block
+
+
+def test_hashed_windows_equal_the_index():
+    rng = np.random.default_rng(10)
+    base = rng.integers(0, 1 << 32, 400).astype(np.uint32)
+    contexts = [base[s : s + int(n)].copy() for s, n in zip(rng.integers(0, 300, 40), rng.integers(ri.LEAST, 100, 40))] + [np.full(n, 7, np.uint32) for n in (70, 90)]
+    low = rng.integers(0, 30, len(contexts))
+    high = low + rng.integers(0, 2, len(contexts))
+    rows = lambda f: sorted(zip(*(x.tolist() for x in f(contexts, low, high))))
+    assert rows(ri.hashed) == rows(ri.repeated)
+
+
 def test_matching_statistics_equal_naive():
     rng = np.random.default_rng(7)
     contexts = [rng.integers(0, 3, int(n)).astype(np.uint32) for n in rng.integers(1, 40, 12)]
