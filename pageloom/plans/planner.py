@@ -158,6 +158,15 @@ def text_outputs(done: DataFrame, intents: DataFrame) -> DataFrame:
     return wanted.join(made, "cmd_id", "left").select("cmd_id", "out_name", F.coalesce("content", F.lit("")).alias("text"))
 
 
+def steps(intents: DataFrame, *columns: str) -> DataFrame:
+    """A row for each action ``a`` of a chain, with these columns.
+
+    The outer form and a filter after it: for the inner one Spark adds a filter on
+    the size of the chain, into which the whole parse is written out, many times over.
+    """
+    return intents.select(*columns, F.explode_outer("action_chain").alias("a")).where("a is not null")
+
+
 def side_outputs(intents: DataFrame) -> DataFrame:
     """Outputs of actions that don't make a PDF, one row each: ``(cmd_id, action, out_name)``."""
     suffix = F.create_map(*[F.lit(x) for kv in SIDE_OUTPUT.items() for x in kv])

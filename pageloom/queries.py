@@ -68,6 +68,11 @@ def _commands(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select(F.col("doc_id").alias("cmd_id"), F.expr(RAW_TEXT).alias("raw_text"))
 
 
+def _sentences(spark: SparkSession, d: str) -> DataFrame:
+    """Commands that have an intent, told before they are parsed: a filter over what is parsed would parse once more."""
+    return _commands(spark, d).where("raw_text <> ''")
+
+
 def _tiles(spark: SparkSession, d: str) -> DataFrame:
     px = F.transform("embedding", lambda v: F.greatest(F.lit(0), F.least(F.lit(255), F.floor((v.cast("double") + 1) * 127.5))).cast("int"))
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("img_id"), F.lit(8).alias("h"), F.lit(8).alias("w"), px.alias("px"))
@@ -445,18 +450,17 @@ def cmd_numbers(spark, d):
 
 @query(f"SELECT cmd_id, {_FILE} AS input_file FROM {READY}")
 def cmd_file(spark, d):
-    return commands.parse(_commands(spark, d)).where("raw_text is not null").select("cmd_id", "input_file")
+    return commands.parse(_sentences(spark, d)).select("cmd_id", "input_file")
 
 
 @query(f"SELECT cmd_id, {_TARGET} AS output_target FROM {READY}")
 def cmd_target(spark, d):
-    return commands.parse(_commands(spark, d)).where("raw_text is not null").select("cmd_id", "output_target")
+    return commands.parse(_sentences(spark, d)).select("cmd_id", "output_target")
 
 
 @query(f"SELECT cmd_id, ord, action, args FROM {ACTIONS}")
 def cmd_actions(spark, d):
-    each = commands.parse(_commands(spark, d)).where("raw_text is not null").select("cmd_id", F.explode("action_chain").alias("a"))
-    return each.select("cmd_id", "a.ord", "a.action", commands.kwargs_text(F.col("a.kwargs")).alias("args"))
+    return planner.steps(commands.parse(_sentences(spark, d)), "cmd_id").select("cmd_id", "a.ord", "a.action", commands.kwargs_text(F.col("a.kwargs")).alias("args"))
 
 
 INTENTS = f"(SELECT r.cmd_id, {_FILE} AS input_file, {_TARGET} AS output_target, coalesce(c.chain, '') AS chain, t AS raw_text FROM {READY} r LEFT JOIN (SELECT cmd_id, string_agg(action || '(' || args || ')', '|' ORDER BY ord) AS chain FROM {ACTIONS} GROUP BY cmd_id) c ON c.cmd_id = r.cmd_id)"

@@ -72,3 +72,12 @@ def test_report_and_execution(spark):
     made = planner.execute(intents, pages).orderBy("cmd_id", "page_no").collect()
     assert [(r["cmd_id"], r["page_no"], r["body"], r["rotation"]) for r in made] == [(1, 1, "a", 0), (1, 2, "b", 0), (8, 1, "a", 180), (8, 2, "c", 180)]
     assert made[2]["overlays"][0]["text"] == "X"
+
+
+@pytest.mark.parametrize("name", ["cmd_actions", "cmd_file", "cmd_target"])
+def test_a_sentence_is_parsed_once(spark, name):
+    """No filter over the parsed columns holds the parse once more."""
+    import __spark_entry__ as entry
+
+    plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert 20 < plan.count("regexp_") < 70
