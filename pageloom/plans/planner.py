@@ -170,7 +170,7 @@ def steps(intents: DataFrame, *columns: str) -> DataFrame:
 def side_outputs(intents: DataFrame) -> DataFrame:
     """Outputs of actions that don't make a PDF, one row each: ``(cmd_id, action, out_name)``."""
     suffix = F.create_map(*[F.lit(x) for kv in SIDE_OUTPUT.items() for x in kv])
-    each = intents.select("cmd_id", "input_file", F.explode("action_chain").alias("a")).where(F.col("a.action").isin(*NON_PDF))
+    each = steps(intents, "cmd_id", "input_file").where(F.col("a.action").isin(*NON_PDF))
     return each.select("cmd_id", F.col("a.action").alias("action"), F.concat(names.stem(F.col("input_file")), F.try_element_at(suffix, F.col("a.action"))).alias("out_name"))
 
 

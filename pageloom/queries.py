@@ -526,7 +526,7 @@ def cmd_execute_decrypt(spark, d):
 
 @query(f"SELECT a.cmd_id, action, regexp_replace(input_file, '\\.[^.]*$', '') || CASE action WHEN 'ocr' THEN '_ocr.txt' WHEN 'pdf_to_image' THEN '_resimler/' WHEN 'pdf_to_word' THEN '.docx' ELSE '.txt' END AS out_name FROM {ACTIONS} a JOIN {INTENTS} i ON i.cmd_id = a.cmd_id WHERE ord >= 7")
 def cmd_side_outputs(spark, d):
-    return planner.side_outputs(commands.parse(_commands(spark, d)).where("raw_text is not null"))
+    return planner.side_outputs(commands.parse(_sentences(spark, d)))
 
 
 # --- state ---------------------------------------------------------------------------------

@@ -74,7 +74,7 @@ def test_report_and_execution(spark):
     assert made[2]["overlays"][0]["text"] == "X"
 
 
-@pytest.mark.parametrize("name", ["cmd_actions", "cmd_file", "cmd_target"])
+@pytest.mark.parametrize("name", ["cmd_actions", "cmd_side_outputs", "cmd_file", "cmd_target"])
 def test_a_sentence_is_parsed_once(spark, name):
     """No filter over the parsed columns holds the parse once more."""
     import __spark_entry__ as entry
